@@ -15,6 +15,9 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows that a lookup table may have at most to be broadcast (its rows are a few dozen bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
+#: Rows of an Arrow batch where rows hold whole texts, vectors or pages: batches are held several times over, by the JVM and by the worker.
+BATCH_ROWS = 500
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -32,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[sc.applicationId]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most BATCH_ROWS rows at once to Python workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandsift/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 

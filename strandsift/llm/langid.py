@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import binary_list, materialise, with_column
+from strandsift.llm.common import binary_list, materialise, small_batches, with_column
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -62,6 +62,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket (row) in each language (column), from all rows with a language."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -120,6 +121,7 @@ def infer(text: bytes | None, table: np.ndarray) -> np.ndarray | None:
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs and (lang_pred, score, n_languages)."""
+    small_batches(docs.sparkSession)
     langs = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1])
     names = [prefix + x for x in ("lang_pred", "score", "n_languages")]

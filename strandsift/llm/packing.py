@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import buckets_for, materialise, rank_within
+from strandsift.llm.common import buckets_for, materialise, rank_within, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 #: Units and chunks of text whose ids a worker keeps.
-CACHE = 250_000
+CACHE = 120_000
 
 _LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _CHUNK = re.compile(r"[^ \n\t\r]+")
@@ -107,6 +107,7 @@ def vocabulary_path() -> str:
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """(id_col, piece int, start long, length long, ids_crc32 long[, ids array<int>]): each text's ids and the end id, cut into pieces if longer than capacity."""
+    small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     kind = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import binary_list, lookup, materialise, null_key, with_column
+from strandsift.llm.common import binary_list, lookup, materialise, null_key, small_batches, with_column
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -66,6 +66,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 
 def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs and COUNTS."""
+    small_batches(docs.sparkSession)
     names = [prefix + x for x in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import ASCII_LOWER, BROADCAST_ROWS, binary_list, materialise, with_column
+from strandsift.llm.common import ASCII_LOWER, BROADCAST_ROWS, binary_list, materialise, small_batches, with_column
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A run of more members than this is walked as a graph instead of pair by pair.
@@ -56,6 +56,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """docs and a column of fingerprints."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
