@@ -7,14 +7,19 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from strandsift.llm import langid, mixing, packing, quality, simhash
+from strandsift.llm import chat, langid, licenses, mixing, neighbours, packing, quality, simhash, warc, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_language_id": langid.op2_language_id,
+        "op3_weak_label_quality": weak_labels.op3_weak_label_quality,
+        "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_chat_format": chat.op7_chat_format,
+        "op8_warc_bundles": warc.op8_warc_bundles,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_simhash": simhash.op10_simhash,
         "pipeline": corpus_pipeline.run,
@@ -22,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_format": chat.OP7_SQL}
