@@ -1,0 +1,147 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strandsift.operators import kernels
+from strandsift.operators.approximate import approximate_hits
+from strandsift.operators.matchers import Horspool, Myers, Pigeonhole, RestorableMyers, RestorableMyersPrefix, RestorableShiftOr, ShiftOr, _seed_hits, seed_length
+from strandsift.operators.protocol import HitCount, OnlineMatcher, ReducibleState, RestorableMatcher, WindowMatcher, aggregate, capture, restore, window_size
+from strandsift.plans.planner import cut
+from strandsift.streaming.resumable import dump_state, load_state
+from tests.models import begins, edit_distance_ends
+
+HAYSTACK, NEEDLE = "ACGTGACTAGCACGTGACTAGCACGTGACTAGCACGTGACTAGC", "GCACG"
+DNA = st.text("ACGT", max_size=60)
+SHORT = st.text("ACGT", min_size=1, max_size=12)
+
+
+def chunks(text, size):
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
+def test_goldens_exact():
+    assert kernels.exact_begins(HAYSTACK, NEEDLE) == [9, 20, 31]
+    assert kernels.exact_begins("AAAA", "AA") == [0, 1, 2]
+    assert kernels.exact_begins("AAAA", "") == [] == kernels.exact_begins("", "A")
+    assert window_size(Horspool(NEEDLE)) == window_size(ShiftOr(NEEDLE)) == 5
+
+
+def test_goldens_edits():
+    ends, distances, _ = kernels.edit_ends(HAYSTACK, NEEDLE, 1, kernels.first_edit_state(NEEDLE))
+    assert ends == [13, 14, 15, 24, 25, 26, 35, 36, 37]
+    assert distances == [1, 0, 1] * 3
+    assert window_size(Myers(NEEDLE, 1)) == window_size(RestorableMyers(NEEDLE, 1)) == 6
+
+
+def test_goldens_prefix():
+    for k, expected in ((0, [5]), (1, [4, 5, 6]), (2, [3, 4, 5, 6, 7])):
+        assert RestorableMyersPrefix("ACGTG", k).search(HAYSTACK) == expected
+
+
+def test_goldens_seeds():
+    single, multi = Pigeonhole(NEEDLE), Pigeonhole([NEEDLE, "TGACTAGCAC"])
+    assert (window_size(single), window_size(multi)) == (5, 5)
+
+    def hits(matcher):
+        postings = {}
+        for piece, index, offset in matcher.pieces():
+            postings.setdefault(piece, []).append((index, offset))
+        return _seed_hits(HAYSTACK, postings, matcher.q, matcher._masked)
+
+    assert hits(single)[0] == [9, 20, 31]
+    found = hits(multi)
+    assert found[0] == [3, 8, 9, 14, 19, 20, 25, 30, 31, 36]
+    assert list(zip(*found[1:], strict=True)) == [(1, 0, 5), (1, 5, 5), (0, 0, 5)] * 3 + [(1, 0, 5)]
+
+
+def test_seed_lengths():
+    assert seed_length(["A" * 100], 0.03) == 25
+    assert seed_length(["A" * 100, "A" * 4], 0.5) == 0  # 100 // 51 and 4 // 3: both under 3
+    assert seed_length([], 0.0) == 0
+    assert Pigeonhole([""]).pieces() == []
+
+
+def test_runs_are_masked():
+    text = "ACGT" + "A" * 50 + "ACGT"
+    matcher = Pigeonhole("AAAA", mask_runs=20)
+    postings = {"AAAA": [(0, 0)]}
+    assert _seed_hits(text, postings, 4, matcher._masked)[0] == []
+    assert len(_seed_hits(text, postings, 4, Pigeonhole("AAAA")._masked)[0]) == 48  # the run is 51 symbols long
+
+
+def test_protocols():
+    for matcher in (Horspool("A"), ShiftOr("A"), Myers("A"), RestorableMyers("A"), Pigeonhole("ACGT")):
+        assert isinstance(matcher, WindowMatcher)
+        assert isinstance(matcher, OnlineMatcher)
+    for matcher in (RestorableShiftOr("A"), RestorableMyers("A"), RestorableMyersPrefix("A")):
+        assert isinstance(matcher, RestorableMatcher)
+    assert isinstance(HitCount(), ReducibleState)
+    assert aggregate(HitCount(1, 10), HitCount(2, 5)) == HitCount(3, 15)
+
+
+def test_chunked_goldens():
+    for size in range(1, 14):
+        matcher, state, offset, found = RestorableMyers(NEEDLE, 1), None, 0, []
+        state = capture(matcher)
+        for chunk in chunks(HAYSTACK, size):
+            restore(matcher, state)
+            found += [offset + x for x in matcher.search(chunk)]
+            state = capture(matcher)
+            offset += len(chunk)
+        assert found == [13, 14, 15, 24, 25, 26, 35, 36, 37]
+
+
+@settings(max_examples=300, deadline=None)
+@given(DNA, SHORT)
+def test_exact_is_brute_force(text, needle):
+    assert kernels.exact_begins(text, needle) == begins(text, needle)
+
+
+@settings(max_examples=300, deadline=None)
+@given(DNA, SHORT, st.integers(0, 4), st.booleans())
+def test_edits_are_the_table(text, needle, k, anchored):
+    ends, distances, _ = kernels.edit_ends(text, needle, k, kernels.first_edit_state(needle), anchored)
+    assert list(zip(ends, distances, strict=True)) == edit_distance_ends(text, needle, k, anchored)
+
+
+def test_long_needles():
+    for m in (63, 64, 65, 256):
+        needle = ("ACGT" * 64)[:m]
+        text = "TT" + needle[:10] + "G" + needle[10:] + "CC"
+        ends, distances, _ = kernels.edit_ends(text, needle, 2, kernels.first_edit_state(needle))
+        assert list(zip(ends, distances, strict=True)) == edit_distance_ends(text, needle, 2)
+
+
+@settings(max_examples=200, deadline=None)
+@given(DNA, SHORT, st.integers(0, 3), st.integers(1, 13), st.sampled_from(["exact", "edits", "prefix"]))
+def test_chunks_are_one_pass(text, needle, k, size, kind):
+    matcher = {"exact": lambda: RestorableShiftOr(needle), "edits": lambda: RestorableMyers(needle, k), "prefix": lambda: RestorableMyersPrefix(needle, k)}[kind]()
+    found, offset = [], 0
+    for chunk in chunks(text, size):
+        restore(matcher, load_state(dump_state(capture(matcher)), type(capture(matcher))))
+        found += [offset + x for x in matcher.search(chunk)]
+        offset += len(chunk)
+    if kind == "exact":
+        assert found == [x + len(needle) for x in begins(text, needle)]
+    else:
+        assert found == [x for x, _ in edit_distance_ends(text, needle, k, kind == "prefix")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(DNA, SHORT, st.integers(0, 3), st.integers(1, 20))
+def test_pieces_are_one_pass(text, needle, k, size):
+    found = []
+    for begin, low, high, piece in cut(text, len(needle) + k, True, size):
+        ends, distances, _ = kernels.edit_ends(piece, needle, k, kernels.first_edit_state(needle))
+        found += [(begin + e, d) for e, d in zip(ends, distances, strict=True) if low < begin + e <= high]
+    assert found == edit_distance_ends(text, needle, k)
+    exact = [begin + i for begin, low, high, piece in cut(text, len(needle), False, size) for i in begins(piece, needle) if low <= begin + i < high]
+    assert exact == begins(text, needle)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ACGT", max_size=80), st.lists(st.text("ACGT", min_size=1, max_size=20), max_size=4), st.integers(0, 3))
+def test_seed_and_verify_is_a_full_scan(text, needles, k):
+    found = approximate_hits(text, tuple(enumerate(needles)), k)
+    expected = {(e, i, d) for i, needle in enumerate(needles) for e, d in edit_distance_ends(text, needle, k)}
+    assert set(zip(*found, strict=True)) == expected
+    assert len(found[0]) == len(expected)
