@@ -1,16 +1,13 @@
-"""What the training-data operators share: the shared folder, written tables, ranks inside hot groups."""
+"""What the training-data operators share: small batches, keys, ranks inside hot groups."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandsift.plans.shared import fresh_path, materialise, shared_dir  # noqa: F401  for the operators
+
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows that a lookup table may have at most to be broadcast (its rows are a few dozen bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -18,22 +15,6 @@ BROADCAST_ROWS = 50_000
 #: Rows of an Arrow batch where rows hold whole texts, vectors or pages: batches are held several times over, by the JVM and by the worker.
 BATCH_ROWS = 500
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: spark.checkpoint.dir, or in a local session without it a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = own = tempfile.mkdtemp(prefix="strandsift-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{_own_dirs[sc.applicationId]}"
-
 
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends at most BATCH_ROWS rows at once to Python workers."""
@@ -41,17 +22,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandsift/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing of it."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def binary_list(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column's values in UTF-8."""
     return batch.column(name).cast(pa.binary()).to_pylist()

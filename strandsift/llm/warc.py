@@ -208,3 +208,14 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS leader FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> leader THEN leader END AS refers_to
+FROM m
+"""
