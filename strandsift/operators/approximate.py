@@ -66,14 +66,14 @@ def _postings(needles: tuple[tuple[int, str], ...], k: int) -> tuple[dict[str, l
     return postings, whole
 
 
-def find_approximate(haystacks: DataFrame, needles: list[tuple[int, str]], k: int, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+def find_approximate(haystacks: DataFrame, needles: list[tuple[int, str]], k: int, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
     """(id_col, end_pos, needle_id, distance): all ends of all needles (id, text) within k edits. The needles are a parameter, sent to every task."""
     fixed = tuple((int(i), x) for i, x in needles)
     window = max((len(x) for _, x in fixed), default=0) + k
-    return planner.scan(haystacks, id_col, seq_col, None, lambda text: approximate_hits(text, fixed, k), FIELDS, window, ends=True)
+    return planner.scan(haystacks, id_col, seq_col, None, lambda text: approximate_hits(text, fixed, k), FIELDS, window, ends=True, deal=deal)
 
 
-def find_exact(haystacks: DataFrame, needles: list[tuple[int, str]], id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+def find_exact(haystacks: DataFrame, needles: list[tuple[int, str]], id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
     """(id_col, begin_pos, needle_id): all occurrences of all needles (id, text), in one pass for the whole set."""
     ids: dict[str, list[int]] = {}
     for i, x in needles:
@@ -86,4 +86,4 @@ def find_exact(haystacks: DataFrame, needles: list[tuple[int, str]], id_col: str
         return [x for x, _ in hits], [i for _, i in hits]
 
     window = max(map(len, words), default=0)
-    return planner.scan(haystacks, id_col, seq_col, None, search, [("begin_pos", T.LongType()), ("needle_id", T.LongType())], window)
+    return planner.scan(haystacks, id_col, seq_col, None, search, [("begin_pos", T.LongType()), ("needle_id", T.LongType())], window, deal=deal)

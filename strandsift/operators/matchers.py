@@ -3,6 +3,7 @@
 find() is lazy and gives one row a hit; null and empty sequences have none, nor has an empty needle. Positions are characters from 0; a begin is
 inclusive, an end exclusive. Restorable matchers also go through chunks of a sequence one after the other: resume() in batch (the state is carried
 from chunk to chunk), search() on the driver with capture() and restore(), and strandsift.streaming on a stream.
+deal: over how many tasks the pieces of long sequences are dealt; 0: rows stay where they are.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ class Horspool:
     def window_size(self) -> int:
         return len(self.needle)
 
-    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
         held = haystacks.where(F.contains(F.col(seq_col), F.lit(self.needle)) if self.needle else F.lit(False))
         needle = self.needle
-        return planner.scan(held, id_col, seq_col, self, lambda text: (kernels.exact_begins(text, needle),), [BEGIN], self.window_size())
+        return planner.scan(held, id_col, seq_col, self, lambda text: (kernels.exact_begins(text, needle),), [BEGIN], self.window_size(), deal=deal)
 
 
 @dataclass
@@ -91,8 +92,8 @@ class Myers:
     def _search(self, text: str) -> tuple[list[int], list[int]]:
         return kernels.edit_ends(text, self.needle, self.k, kernels.first_edit_state(self.needle))[:2]
 
-    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
-        return planner.scan(haystacks.where(F.lit(bool(self.needle))), id_col, seq_col, self, self._search, [END, DISTANCE], self.window_size(), ends=True)
+    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
+        return planner.scan(haystacks.where(F.lit(bool(self.needle))), id_col, seq_col, self, self._search, [END, DISTANCE], self.window_size(), ends=True, deal=deal)
 
 
 @dataclass
@@ -131,7 +132,7 @@ class RestorableMyersPrefix(RestorableMyers):
 
     anchored = True
 
-    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
         """In the JVM: no end lies behind the needle's length + k, so only so much of a sequence matters."""
         span = F.substring(F.col(seq_col), 1, self.window_size())
         rows = haystacks.where(F.lit(bool(self.needle)) & (F.length(span) > 0)).select(id_col, span.alias("__span"))
@@ -185,18 +186,18 @@ class Pigeonhole:
             at = end
         return out
 
-    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+    def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
         pieces, q = self.pieces(), self.q
         fields = [BEGIN, *((x, T.LongType()) for x in ("index", "offset", "count"))]
         size = 1 << 62 if self.mask_runs else planner.CHUNK  # a run may be longer than any context: then sequences stay whole
         if len(pieces) > self.LOCAL:
-            grams = planner.scan(haystacks, id_col, seq_col, self, functools.partial(_all_grams, q=q, masked=self._masked), [BEGIN, ("gram", T.StringType())], q, size=size)
+            grams = planner.scan(haystacks, id_col, seq_col, self, functools.partial(_all_grams, q=q, masked=self._masked), [BEGIN, ("gram", T.StringType())], q, size=size, deal=deal)
             table = haystacks.sparkSession.createDataFrame(pieces, "gram string, index long, offset long")
             return grams.join(table, "gram").select(id_col, "begin_pos", "index", "offset", F.lit(q).cast("long").alias("count"))
         postings: dict[str, list[tuple[int, int]]] = {}
         for piece, index, offset in pieces:
             postings.setdefault(piece, []).append((index, offset))
-        return planner.scan(haystacks.where(F.lit(bool(pieces))), id_col, seq_col, self, functools.partial(_seed_hits, postings=postings, q=q, masked=self._masked), fields, q, size=size)
+        return planner.scan(haystacks.where(F.lit(bool(pieces))), id_col, seq_col, self, functools.partial(_seed_hits, postings=postings, q=q, masked=self._masked), fields, q, size=size, deal=deal)
 
 
 def _inside(at: int, q: int, runs: list[tuple[int, int]]) -> bool:

@@ -1,8 +1,8 @@
 """How a search runs: which columns are read, how long sequences are cut, where rows go.
 
 A sequence is cut into pieces of CHUNK symbols with the context that a match needs: pieces own the beginnings (or the ends) of the matches in
-their range and see window - 1 symbols more on the right (or the left), so every match is found once. Rows stay in their task unless there are
-fewer tasks than cores; then pieces, not rows, are dealt out, so a long sequence spreads.
+their range and see window - 1 symbols more on the right (or the left), so every match is found once. Rows stay in their task, without a shuffle,
+unless the caller wants the pieces dealt out over a number of tasks: a few long sequences then spread.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def cut(text: str, window: int, ends: bool, size: int) -> Iterator[tuple[int, in
         yield low, at, high, text[low : high if ends else high + max(0, window - 1)]
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt out if it comes in fewer parts than there are cores, as small files do. Large tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def scan(
     haystacks: DataFrame,
     id_col: str,
@@ -37,9 +43,9 @@ def scan(
     window: int,
     ends: bool = False,
     size: int = CHUNK,
+    deal: int = 0,
 ) -> DataFrame:
-    """id_col and fields for every hit. search gives the hits of one piece: positions first, then further columns."""
-    few = haystacks.rdd.getNumPartitions() < haystacks.sparkSession.sparkContext.defaultParallelism
+    """id_col and fields for every hit. search gives the hits of one piece: positions first, then further columns. deal: over how many tasks pieces go, 0 if they stay."""
     source = haystacks.select(id_col, seq_col)
     arrow = [pa.int32() if isinstance(t, T.IntegerType) else pa.int64() if isinstance(t, T.LongType) else pa.string() for _, t in fields]
     names = [id_col, *(n for n, _ in fields)]
@@ -57,7 +63,7 @@ def scan(
     def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_up(matcher)
         for batch in batches:
-            if few:
+            if deal:
                 pieces = zip(range(batch.num_rows), *(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)
             else:
                 pieces = ((i, *piece) for i, text in enumerate(batch.column(1).to_pylist()) if text for piece in cut(text, window, ends, size))
@@ -75,9 +81,9 @@ def scan(
         tear_down(matcher)
 
     schema = T.StructType([haystacks.schema[id_col], *(T.StructField(n, t) for n, t in fields)])
-    if few:
+    if deal:
         pieces = T.StructType([haystacks.schema[id_col], *(T.StructField(n, T.StringType() if t == pa.string() else T.LongType()) for n, t in _CUT)])
-        source = source.mapInArrow(cutting, pieces).repartition(haystacks.sparkSession.sparkContext.defaultParallelism)
+        source = source.mapInArrow(cutting, pieces).repartition(deal)
     return source.mapInArrow(searching, schema)
 
 

@@ -12,6 +12,7 @@ from strandsift.operators.approximate import find_approximate, find_exact
 from strandsift.operators.matchers import Horspool, Myers, Pigeonhole, RestorableMyers, RestorableMyersPrefix, RestorableShiftOr, ShiftOr
 from strandsift.operators.protocol import window_size
 from strandsift.plans import pipeline
+from strandsift.plans.planner import spread
 from strandsift.streaming.resumable import drain, find_stream
 
 NEEDLE, START, K, ERROR_RATE = "GCACG", "ATTAT", 1, 0.1
@@ -20,7 +21,7 @@ MOST_NEEDLES = 100_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _dna(spark: SparkSession, sf_dir: str) -> DataFrame:

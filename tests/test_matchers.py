@@ -61,6 +61,8 @@ def test_long_sequences_are_cut(spark):
     one = spark.createDataFrame([(1, text)], "haystack_id long, seq string").coalesce(1)
     found = planner.scan(one, "haystack_id", "seq", None, lambda x: (begins(x, "GCAACG"),), [("begin_pos", T.LongType())], 6, size=50)
     assert [x for (x,) in rows(found, "begin_pos")] == begins(text, "GCAACG")
+    dealt = Myers("GCAACG", 1).find(one, deal=3)
+    assert rows(dealt, "end_pos", "distance") == edit_distance_ends(text, "GCAACG", 1)
 
 
 def test_many_needles(haystacks):
