@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.llm.common import binary_list, materialise, small_batches, with_column
+from strandsift.plans.planner import spread
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

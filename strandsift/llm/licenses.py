@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.llm.common import binary_list, small_batches
+from strandsift.plans.planner import spread
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = {
@@ -172,5 +173,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan_licenses(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", " ").alias("expressions"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsift.llm.common import buckets_for, lookup, materialise, null_key, rank_within
+from strandsift.plans.planner import spread
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -140,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = mix(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

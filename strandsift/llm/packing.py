@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.llm.common import buckets_for, materialise, rank_within, small_batches
+from strandsift.plans.planner import spread
 
 CAPACITY = 4096
 END_ID = 1
@@ -216,5 +217,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    packed = pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.llm.common import binary_list, lookup, materialise, null_key, small_batches, with_column
+from strandsift.plans.planner import spread
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -151,7 +152,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = judge(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import ASCII_LOWER, BROADCAST_ROWS, binary_list, materialise, small_batches, with_column
+from strandsift.llm.common import ASCII_LOWER, BROADCAST_ROWS, binary_list, lookup, materialise, small_batches, with_column
+from strandsift.plans.planner import spread
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A run of more members than this is walked as a graph instead of pair by pair.
@@ -229,7 +230,7 @@ def hex_digits(fp: str = "fp") -> F.Column:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
 
 
@@ -240,7 +241,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keys = materialise(found.groupBy(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).agg(F.max(chosen).alias("__chosen"), F.first("root").alias("__root"), F.count(F.lit(1)).alias("__n")), "simhash-keys")
     # Several rows of a component have its id if rows or ids repeat; then its least fingerprint stands for it.
     keep = keys.where("__chosen").groupBy("__root").agg(F.min("__fp").alias("__keep"), F.count(F.lit(1)).alias("__k"))
-    rest = keys.join(keep.where("__k > 1"), "__root", "left").withColumn("__chosen", F.col("__chosen") & F.coalesce(F.col("__fp") == F.col("__keep"), F.lit(True)))
+    tied = materialise(keep.where("__k > 1"), "simhash-tied")
+    rest = keys
+    if n := tied.count():
+        rest = keys.join(lookup(tied, n), "__root", "left").withColumn("__chosen", F.col("__chosen") & F.coalesce(F.col("__fp") == F.col("__keep"), F.lit(True)))
     rest = materialise(rest.select("__id", "__fp", "__chosen", "__n"), "simhash-keep")
     out = with_fingerprints(docs, text_col, "__own")
     out = out.join(rest.where("not __chosen"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_anti")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from strandsift.llm.common import binary_list, materialise, small_batches
 from strandsift.llm.quality import measure
+from strandsift.plans.planner import spread
 
 BUCKETS, SAMPLE, EPOCHS, RATE, RIDGE, STEPS = 1 << 16, 6_000, 6, 0.5, 1e-6, 200
 BLOCK = 1 << 20
@@ -186,4 +187,4 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
