@@ -45,17 +45,18 @@ def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     return max(1, -(-rows // per_bucket))
 
 
-def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, ties: bool = False) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, ties: bool = False, table: DataFrame | None = None) -> DataFrame:
     """Adds each row's rank from 0 among the rows of its keys, in the order of (bucket, *order).
 
     Ranks are counted inside (keys, bucket) and moved by the number of rows in earlier buckets, so the rows of a hot key spread over its buckets.
-    ties: equal rows of a bucket share a rank.
+    ties: equal rows of a bucket share a rank. table: further columns, one row for each of keys, which reach the rows by way of their buckets.
     """
     df = df.withColumn("__bucket", bucket)
     parts = [*keys, "__bucket"]
     sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(*parts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    base = base if table is None else base.join(table, keys)
     inside = (F.rank() if ties else F.row_number()).over(Window.partitionBy(*parts).orderBy(*order))
     ranked = df.withColumn("__inside", inside).join(base, parts)
     return ranked.withColumn(name, F.col("__base") + F.col("__inside") - 1).drop("__bucket", "__base", "__inside")

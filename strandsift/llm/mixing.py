@@ -111,8 +111,7 @@ def round_cells(cells: pd.DataFrame) -> pd.DataFrame:
         best = most if abs(owed - most * size) < abs(owed - least * size) else least
         owed -= best * size
         more.append(best)
-    out = cells.rename(columns={"__source": "__cell", "size": "__size"}).assign(more=more)
-    return out[["__cell", "__size", "source_size", "target", "rate", "more"]]
+    return cells.assign(more=more)[["__source", "size", "source_size", "target", "rate", "more"]]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -129,13 +128,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tilt = balance(cells, wanted, totals, scale, cap)
     told = _table(spark, {s: (totals[s], wanted[s], scale[s], tilt[s]) for s in totals}, "source_size long, target double, scale double, tilt double")
     cells = cells.join(told, "__source").withColumn("rate", _rate(cap))
-    schema = "__cell string, __size long, source_size long, target double, rate double, more long"
+    schema = "__source string, size long, source_size long, target double, rate double, more long"
     cells = materialise(cells.groupBy("__source").applyInPandas(round_cells, schema), "mix-copies")
     rows = sum(r["n"] for r in sources)
     order = F.xxhash64(F.col("__id").cast("string"), F.lit("mix"))
-    ranked = rank_within(sized, ["__source", "size"], F.pmod(order, F.lit(buckets_for(rows))), [order, F.col("__id")], "__rank", ties=True)
-    told_cells = lookup(cells, cells.count())
-    out = ranked.join(told_cells, (F.col("__source") == F.col("__cell")) & (F.col("size") == F.col("__size")))
+    out = rank_within(sized, ["__source", "size"], F.pmod(order, F.lit(buckets_for(rows))), [order, F.col("__id")], "__rank", ties=True, table=cells)
     copies = (F.floor("rate") + F.when(F.col("__rank") < F.col("more"), 1).otherwise(0)).cast("int")
     return out.select(F.col("__id").alias(id_col), F.col("__name").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"))
 

@@ -33,6 +33,8 @@ END_ID = 1
 CACHE = 120_000
 
 _LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: White space to str.split(), but not to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
 
@@ -77,7 +79,9 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         learn = self._latin
-        if not text.isascii():
+        if _SEPARATORS.search(text):
+            learn = self._others
+        elif not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
