@@ -27,6 +27,7 @@ from strandsift.plans.planner import spread
 BUCKETS, SAMPLE, EPOCHS, RATE, RIDGE, STEPS = 1 << 16, 6_000, 6, 0.5, 1e-6, 200
 BLOCK = 1 << 20
 GOOD, BAD, NONE = 1, 0, 2
+FALSE_ALARM, HIT = 0.01, 0.95
 #: (name, value, upper limit of good, lower limit of bad); between them the labeller has no vote. Values from facts().
 LABELLERS = (
     ("symbols", "symbol_rate", 0.01, 0.05),
@@ -87,7 +88,9 @@ def estimate(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, floa
 
     Bad texts are bad in different ways, and labellers of one way know nothing of the others. So there is a class of bad texts for each labeller,
     which begins with those it votes bad, and one of good texts, which begins with those that none votes bad. Each class has a table of every
-    labeller's vote probabilities.
+    labeller's vote probabilities. Votes alone can't tell a way of being bad that one labeller sees from that labeller's errors; so it is taken as
+    known, with the weight of as many texts as there are, that a good text gets a labeller's bad vote at a rate of FALSE_ALARM, and a text that is
+    bad in the way that a labeller looks for at a rate of HIT.
     """
     keys = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(k)] for k in keys], float)
@@ -103,6 +106,8 @@ def estimate(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, floa
         held = p * n[:, None]
         share = (held.sum(0) + 1) / (n.sum() + m + 1)
         table = np.einsum("kc,kiv->civ", held, cast) + 0.5
+        table[m] += n.sum() * np.array([FALSE_ALARM, 1 - FALSE_ALARM])
+        table[range(m), range(m)] += n.sum() * np.array([HIT, 1 - HIT])
         table /= table.sum(2, keepdims=True)
         log = np.log(share) + np.einsum("kiv,civ->kc", cast, np.log(table))
         new = np.exp(log - log.max(1, keepdims=True))

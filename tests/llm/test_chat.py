@@ -1,0 +1,129 @@
+import json
+import random
+
+import pytest
+
+from strandsift.llm.chat import format_chats
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def call(i, name="search", arguments=None, **more):
+    return {"id": i, "name": name, "arguments": {"query": "x"} if arguments is None else arguments, **more}
+
+
+def calls(*own, content=None):
+    return json.dumps({"content": content, "tool_calls": list(own)})
+
+
+def result(i, content="r"):
+    return json.dumps({"tool_call_id": i, "content": content})
+
+
+def chats(spark, rows, **more):
+    return format_chats(spark.createDataFrame(rows, SCHEMA), **more)
+
+
+def test_order_and_links(spark):
+    rows = [
+        (1, 0, "user", "hi"),
+        (1, 1, "assistant", calls(call("a"), call("b", arguments='{"query": "y", "limit": 2}'))),
+        (1, 5, "assistant", calls(call("c", "calculate", {"expression": "1"}, depends_on=["a"]))),
+        (1, 2, "tool", result("c")),
+        (1, 7, "tool", result("a")),
+        (1, 3, "tool", result("nope")),
+        (1, 8, "user", "bye"),
+        (2, 0, "tool", result("a")),
+    ]
+    found = {(r.conv_id, r.turn): r for r in chats(spark, rows).collect()}
+    order = [t for _, t in sorted((r.position, r.turn) for (c, _), r in found.items() if c == 1)]
+    assert order == [0, 1, 3, 7, 5, 2, 8]
+    assert [found[1, t].linked for t in (2, 7, 3)] == [True, True, False]
+    assert found[2, 0].linked is False
+    assert (found[1, 1].n_calls, found[1, 1].n_answered) == (2, 1)
+    assert (found[1, 5].n_calls, found[1, 5].n_answered) == (1, 1)
+    assert found[1, 0].n_calls == 0
+
+
+@pytest.mark.parametrize(
+    ("own", "problems"),
+    [
+        (call("a"), []),
+        (call("a", arguments='{"query":"x","limit":3}'), []),
+        (call("a", arguments={"limit": "3", "zzz": 1}), ["missing query", "not a integer: limit", "unknown zzz"]),
+        (call("a", arguments=5), ["arguments are no object"]),
+        (call("a", arguments="{bad"), ["arguments are no object"]),
+        (call("a", "who"), ["unknown tool"]),
+        ({"name": "search"}, ["no identifier"]),
+        ({"id": "a"}, ["unknown tool"]),
+        (call("a", "fetch", {"url": "u", "timeout": 3, "headers": {}}), []),
+        (call("a", "fetch", {"url": "u", "timeout": 3.5, "headers": []}), ["not a object: headers"]),
+        (call("a", "fetch", {"url": None}), ["not a string: url"]),
+    ],
+)
+def test_arguments(spark, own, problems):
+    assert chats(spark, [(1, 0, "assistant", calls(own))]).first().problems == problems
+
+
+def test_canonical_json(spark):
+    rows = [
+        (1, 0, "user", 'a "quote"\n\t\\ é 😀'),
+        (1, 1, "assistant", '{ "tool_calls": [ {"name": "search", "id": "a", "arguments": {"query": "q", "limit": 1}} ],  "content": "c"}'),
+        (1, 2, "tool", '{"tool_call_id": "a", "content": "done"}'),
+        (1, 3, "user", "{not json"),
+        (1, 4, "user", '{"other": 1}'),
+        (1, 5, None, None),
+    ]
+    found = [r.json for r in chats(spark, rows).orderBy("position").collect()]
+    assert found[1] == '{"content":"c","conv_id":1,"role":"assistant","tool_calls":[{"arguments":{"limit":1,"query":"q"},"id":"a","name":"search"}],"turn":1}'
+    assert found[2] == '{"content":"done","conv_id":1,"role":"tool","tool_call_id":"a","turn":2}'
+    for x, (conv, turn, role, text) in zip(found, rows, strict=True):
+        own = json.loads(x)
+        assert x == json.dumps(own, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        if turn in (0, 3, 4, 5):
+            assert own == {k: v for k, v in {"content": text, "conv_id": conv, "role": role, "turn": turn}.items() if v is not None}
+
+
+def test_chains_against_a_model(spark):
+    """Random chains of calls that wait for each other's results, in random turns: all that must wait stands behind what it waits for."""
+    rng = random.Random(4)
+    rows, waits = [], []
+    for conv in range(8):
+        turns = rng.sample(range(100), 24)
+        for i in range(12):
+            needs = [f"k{j}" for j in range(i) if rng.random() < 0.3]
+            rows.append((conv, turns[2 * i], "assistant", calls(call(f"k{i}", depends_on=needs))))
+            rows.append((conv, turns[2 * i + 1], "tool", result(f"k{i}", str(i))))
+            waits.append((conv, turns[2 * i], turns[2 * i + 1]))
+            waits += [(conv, turns[2 * int(x[1:]) + 1], turns[2 * i]) for x in needs]
+    found = {(r.conv_id, r.turn): r.position for r in chats(spark, rows).collect()}
+    assert sorted(found.values()) == sorted(i for _ in range(8) for i in range(24))
+    assert all(found[c, a] < found[c, b] for c, a, b in waits)
+
+
+def test_odd_rows(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "user", "last"), (None, 0, "user", "q"), (None, 1, "user", "r"), (2, 0, "assistant", calls()), (2, 1, "assistant", calls(call("a"))), (2, 2, "assistant", calls(call("a"))), (2, 3, "tool", result("a"))]
+    rows += [(3, 0, "assistant", calls(call("x", depends_on=["y"]))), (3, 1, "tool", result("x")), (3, 2, "assistant", calls(call("y", depends_on=["x"]))), (3, 3, "tool", result("y"))]
+    rows += [(4, i, "user", "w " * 30_000 if i == 7 else "t") for i in range(700)]
+    found = chats(spark, rows).collect()
+    assert len(found) == len(rows)
+    by_conv = {}
+    for r in found:
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for own in by_conv.values():
+        assert sorted(r.position for r in own) == list(range(len(own)))
+    assert max(by_conv[1], key=lambda r: r.position).turn is None
+    assert [r.turn for r in sorted(by_conv[4], key=lambda r: r.position)] == list(range(700))
+    assert all(r.linked for r in by_conv[3] if r.role == "tool")
+
+
+def test_empty_and_extra_columns(spark):
+    assert chats(spark, []).count() == 0
+    df = spark.createDataFrame([(1, 0, "user", "hi", "p", 4)], SCHEMA + ", json string, position int")
+    assert format_chats(df).first().position == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = chats(spark, [(1, 0, "user", "hi")])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    assert "Arrow" not in plan

@@ -1,0 +1,64 @@
+"""The subpackage's queries on the smallest tables, and the pipeline against its stages one by one."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from strandsift.llm import langid, mixing, quality, registry, simhash
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in os.listdir(SF):
+        con.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{table}'")
+    expected = con.sql(registry.oracle_sql()[name])
+    columns = expected.columns
+    found = registry.queries()[name](spark, SF)
+    assert sorted(found.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in found.collect()) == Counter(expected.fetchall())
+
+
+def test_registered():
+    names = entry.queries()
+    assert {x.split("_")[0] for x in registry.queries()} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert set(registry.queries()) <= set(names)
+
+
+def test_pipeline(spark):
+    """Each stage decides as its operator does on what the stage before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    known = {r.doc_id for r in langid.with_language(docs, langid.train(docs.where(~langid.held_out()))).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, before, SF)
+        assert docs.columns == columns
+        ids = Counter(r.doc_id for r in docs.collect())
+        if name == "language_id":
+            assert set(ids) == known
+        elif name == "quality_rules":
+            assert set(ids) == {r.doc_id for r in quality.judge(before).collect() if r.kept}
+        elif name == "simhash_dedup":
+            assert set(ids) == {r.component_id for r in simhash.near_duplicates(before).collect()}
+        else:
+            assert ids == Counter({r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies})
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    whole = corpus_pipeline.run(spark, SF)
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(tuple(r) for r in whole.select(key).collect()) == Counter(tuple(r) for r in packed.select(key).collect())
+    assert {r.doc_id for r in packed.collect()} == set(ids)
+    assert all(n <= 4096 for (n,) in whole.groupBy("sequence_id").sum("length").select("sum(length)").collect())
+
+
+def test_pipeline_stages_of_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0

@@ -1,0 +1,92 @@
+import hashlib
+import struct
+from collections import Counter
+
+import pytest
+import zstandard
+
+from strandsift.llm import warc
+
+SCHEMA = "page_id long, url string, html string, digest string, payload int"
+
+
+def pages():
+    big = "<p>" + "é" * 600
+    rows = [(1, "http://a/", big), (5, "http://b/", big), (3, None, big), (None, "u", big), (2, "x\r\ny: z", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", "z" * 3_000_000)]
+    rows += [(9, "u", "ab\r\n\r\nWARC/1.1\r\n" * 100), (9, "u", "ab\r\n\r\nWARC/1.1\r\n" * 100), (10, "u", "a" * 999), (11, "u", "a" * 999), (12, "u", "b" * 1000), (13, "u", "b" * 1000)]
+    return rows + [(100 + i, f"http://h/{i}", f"<html>{i}" * (i + 1)) for i in range(300)]
+
+
+def expected(rows):
+    leader = {}
+    for i, _, html in rows:
+        data = (html or "").encode()
+        if len(data) >= 1000 and i is not None:
+            leader[data] = max(leader.get(data, i), i)
+    out = []
+    for i, _, html in rows:
+        data = (html or "").encode()
+        first = leader.get(data)
+        revisit = first is not None and first != i
+        out.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    return Counter(out)
+
+
+@pytest.fixture(scope="module")
+def index(spark):
+    return warc.archive(spark.createDataFrame([(*r, "d", 1) for r in pages()], SCHEMA))
+
+
+def test_round_trip(index):
+    found = warc.read_bundles(index).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(pages())
+    texts = {(i, (html or "").encode()) for i, _, html in pages()}
+    for r in found:
+        if r.record_type == "response":
+            assert (r.page_id, bytes(r.payload)) in texts
+    assert {r.page_id: r.url for r in found}[2] == "x y: z"
+    assert {r.page_id: r.url for r in found}[3] is None
+
+
+def test_one_record(spark, index):
+    wanted = spark.createDataFrame([("urn:page:150",), ("urn:page:8",), ("urn:page:1",), ("urn:page:77777",)], "record_id string")
+    found = {r.page_id: r for r in warc.fetch(index, wanted).collect()}
+    assert set(found) == {150, 8, 1}
+    assert bytes(found[150].payload).decode() == "<html>50" * 51
+    assert found[1].refers_to == 5
+
+
+def test_frames_stand_alone(spark):
+    records = warc.to_records(spark.createDataFrame([(*r, "d", 1) for r in pages()], SCHEMA).coalesce(1))
+    index = warc.write_bundles(records, warc.fresh_path(spark, "warc-test"), frame_bytes=20_000)
+    bundles = {r.bundle for r in index.collect()}
+    assert len(bundles) == 1
+    path = bundles.pop()
+    frames = warc.frames_of(path)
+    assert len(frames) == 1 + max(r.frame for r in index.collect()) > 5
+    data = open(path.removeprefix("file://"), "rb").read()
+    plain = b"".join(zstandard.ZstdDecompressor().decompress(data[a : a + n], max_output_size=m) for a, n, m in frames)
+    assert plain == zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(len(plain) + 1)
+    end = sum(n for _, n, _ in frames)
+    assert struct.unpack("<II", data[end : end + 8]) == (0x184D2A5E, len(data) - end - 8)
+    assert struct.unpack("<I", data[-4:]) == (0x8F92EAB1,)
+    for r in index.collect():
+        record, stop = warc.parse_record(warc.read_frame(path, r.frame), r.offset)
+        assert warc.record_id(record["page_id"]) == r.record_id
+        assert stop == r.offset + r.length
+
+
+def test_a_changed_payload_is_found():
+    record = warc.make_record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False)
+    with pytest.raises(ValueError, match="isn't what it says"):
+        warc.parse_record(record.replace(b"abc", b"abd"))
+
+
+def test_many_repeats_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr("strandsift.llm.common.BROADCAST_ROWS", 0)
+    found = warc.read_bundles(warc.archive(spark.createDataFrame([(*r, "d", 1) for r in pages()], SCHEMA))).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(pages())
+
+
+def test_empty(spark):
+    assert warc.read_bundles(warc.archive(spark.createDataFrame([], SCHEMA))).count() == 0
