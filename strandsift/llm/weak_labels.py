@@ -33,7 +33,7 @@ LABELLERS = (
     ("symbols", "symbol_rate", 0.01, 0.05),
     ("capitals", "upper_rate", 0.15, 0.50),
     ("lines", "line_rate", 0.05, 0.50),
-    ("repeats", "repeat_rate", 0.05, 0.20),
+    ("repeats", "repeat_rate", 0.05, 0.50),
     ("marks", "mark_rate", 0.05, 0.30),
     ("brevity", "short", 0.0, 1.0),
     ("sameness", "sameness", 0.75, 0.90),
