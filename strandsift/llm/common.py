@@ -13,11 +13,12 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BROADCAST_ROWS = 50_000
 
 #: Rows of an Arrow batch where rows hold whole texts, vectors or pages: batches are held several times over, by the JVM and by the worker.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, "16m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session sends at most BATCH_ROWS rows at once to Python workers."""
+    """From now on the session sends at most BATCH_ROWS rows, and about BATCH_BYTES, at once to Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
