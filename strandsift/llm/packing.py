@@ -29,12 +29,14 @@ from strandsift.plans.planner import spread
 
 CAPACITY = 4096
 END_ID = 1
-#: Units and chunks of text whose ids a worker keeps.
-CACHE = 120_000
+#: Units and chunks of text whose ids a worker keeps, some 200 bytes each.
+UNITS, CHUNKS = 200_000, 300_000
 
 _LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: White space to str.split(), but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Characters that are neither letters, numbers nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CHUNK = re.compile(r"[^ \n\t\r]+")
 
 
@@ -47,10 +49,15 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # For units, which are normal and cut already.
+        self.units_only = Tokenizer.from_file(path)
+        self.units_only.encode_special_tokens = True
+        self.units_only.normalizer = normalizers.Sequence([])
+        self.units_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -58,45 +65,57 @@ class WordTokenizer:
         self.chunks: dict[str, bytes] = {}
 
     def _learn_units(self, units: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.units_only.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         for unit, a, b in zip(units, [0, *stops], stops, strict=False):
             self.units[unit] = ids[a:b].tobytes()
 
     def _latin(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of lower-case chunks without white space."""
-        if len(self.units) > CACHE:
+        if not missing:
+            return {}
+        if len(self.units) > UNITS:
             self.units.clear()
-        cut = [_LATIN.findall(x) for x in missing]
-        units = self.units
+        units, cut = self.units, []
+        for x in missing:
+            word = x.rstrip(_MARKS)
+            if word.isalpha():  # letters, then marks at most: two units
+                cut.append((word, x[len(word) :]) if len(word) < len(x) else (word,))
+            else:
+                cut.append(_LATIN.findall(x))
         if new := {x for parts in cut for x in parts if x not in units}:
             self._learn_units(list(new))
-        return {x: b"".join([units[y] for y in parts]) for x, parts in zip(missing, cut, strict=True)}
+        return {x: units[parts[0]] if len(parts) == 1 else b"".join([units[y] for y in parts]) for x, parts in zip(missing, cut, strict=True)}
 
     def _others(self, missing: list[str]) -> dict[str, bytes]:
+        if not missing:
+            return {}
         found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         return {x: np.array(y.ids, "<u4").tobytes() for x, y in zip(missing, found, strict=True)}
 
-    def __call__(self, text: str) -> bytes:
-        learn = self._latin
-        if _SEPARATORS.search(text):
-            learn = self._others
-        elif not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                learn = self._others
-        chunks = text.lower().split() if learn == self._latin else _CHUNK.findall(text)
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in all of them is encoded at once."""
+        cut, latin, other = [], set(), set()
+        for text in texts:
+            plain = not _SEPARATORS.search(text)
+            if plain and not text.isascii():
+                try:
+                    text.encode("latin-1")
+                except UnicodeEncodeError:
+                    plain = False
+            chunks = text.lower().split() if plain else _CHUNK.findall(text)
+            (latin if plain else other).update(chunks)
+            cut.append(chunks)
         known = self.chunks
-        missing = {x for x in chunks if x not in known}
-        if not missing:
-            return b"".join([known[x] for x in chunks])
-        got = learn(list(missing))
-        if len(known) < CACHE:
-            known |= got
-        else:
-            known = {x: known.get(x) or got[x] for x in set(chunks)}
-        return b"".join([known[x] for x in chunks])
+        new = self._latin([x for x in latin if x not in known])
+        new |= self._others([x for x in other if x not in known and x not in new])
+        if len(known) < CHUNKS:
+            known |= new
+            return [b"".join([known[x] for x in chunks]) for chunks in cut]
+        return [b"".join([new[x] if x in new else known[x] for x in chunks]) for chunks in cut]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 @functools.cache
@@ -123,8 +142,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encode = _tokenizer(path)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                found = encode(text.as_py() or "") + end
+            for i, found in enumerate(encode.many([x or "" for x in batch.column(1).to_pylist()])):
+                found += end
                 for k, at in enumerate(range(0, len(found), 4 * capacity)):
                     part = found[at : at + 4 * capacity]
                     row.append(i)

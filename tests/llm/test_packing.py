@@ -35,7 +35,8 @@ def test_ids_of_any_text(text):
 
 
 def test_cache_runs_over(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 10)
+    monkeypatch.setattr(packing, "UNITS", 10)
+    monkeypatch.setattr(packing, "CHUNKS", 10)
     own = packing.WordTokenizer(vocabulary_path())
     for text in ["one two three four five six", "seven eight nine ten eleven twelve, one two", "three four thirteen fourteen - one"] * 3:
         assert np.frombuffer(own(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
