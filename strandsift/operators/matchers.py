@@ -90,6 +90,11 @@ class Myers:
         return len(self.needle) + self.k
 
     def _search(self, text: str) -> tuple[list[int], list[int]]:
+        if len(self.needle) // (self.k + 1) >= 3:  # pieces that long are rare enough to look for first
+            from strandsift.operators.approximate import approximate_hits
+
+            ends, _, distances = approximate_hits(text, ((0, self.needle),), self.k)
+            return ends, distances
         return kernels.edit_ends(text, self.needle, self.k, kernels.first_edit_state(self.needle))[:2]
 
     def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:

@@ -32,6 +32,9 @@ def test_exact(haystacks, matcher):
 def test_edits(haystacks):
     expected = sorted((r.haystack_id, e, d) for r in haystacks.collect() for e, d in edit_distance_ends(r.seq or "", NEEDLE, 1))
     assert rows(Myers(NEEDLE, 1).find(haystacks), "haystack_id", "end_pos", "distance") == expected
+    for needle, k in (("CTAGCACGT", 2), ("GTGACTAGCACG", 3), ("ACG", 0)):  # by seeds
+        expected = sorted((r.haystack_id, e, d) for r in haystacks.collect() for e, d in edit_distance_ends(r.seq or "", needle, k))
+        assert rows(Myers(needle, k).find(haystacks), "haystack_id", "end_pos", "distance") == expected
     assert Myers("", 3).find(haystacks).count() == 0
     with pytest.raises(ValueError, match="errors"):
         Myers("A", -1)
