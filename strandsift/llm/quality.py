@@ -161,3 +161,39 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     measured = materialise(with_measures(docs.select(text_col, lang_col, source_col), text_col).drop(text_col), "measures")
     judged = verdicts(with_measures(docs, text_col, "__q_"), thresholds(measured, lang_col, source_col), lang_col, source_col, "__q_")
     return judged.where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+_MEASURES = "".join(f"('{k}', {k}, {SLACK[k]}), " for k in SLACK).rstrip(", ")
+_FENCE = f"min(value) FILTER (WHERE upto >= 0.75 * n) * {1 + SPREAD} - min(value) FILTER (WHERE upto >= 0.25 * n) * {SPREAD}"
+
+
+def _level(name: str, keys: str) -> str:
+    """SQL of one level of merged sketches."""
+    by = f"{keys}, measure" if keys else "measure"
+    return f"""{name} AS (SELECT {by}, any_value(n) AS n, {_FENCE} AS fence FROM (
+  SELECT {by}, sum(c) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(c) OVER (PARTITION BY {by}) AS n, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / {GAMMA + 1!r}::DOUBLE END AS value
+  FROM (SELECT {by}, bucket, sum(c) AS c FROM sketch GROUP BY {by}, bucket)) GROUP BY {by})"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || lang, 'n') AS l, coalesce('s' || source, 'n') AS s, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+u AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+g AS (SELECT rid, i, [word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p] AS five, lead(word, 4) OVER p AS fifth FROM u WINDOW p AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS c FROM g WHERE fifth IS NOT NULL) WHERE c > 1),
+o AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, range(5) AS five(k) GROUP BY rid),
+c AS (SELECT d.rid, doc_id, l, s, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(o.n, 0) AS BIGINT) AS n_repeat_words,
+  len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks
+  FROM d JOIN w USING (rid) LEFT JOIN o USING (rid)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, n_symbols / greatest(1, word_chars) AS symbol_rate, n_dup_lines / greatest(1, n_lines) AS line_rate,
+  n_repeat_words / greatest(1, n_words) AS repeat_rate, n_upper / greatest(1, word_chars) AS upper_rate, n_marks / greatest(1, n_words) AS mark_rate, word_chars / greatest(1, n_words) AS word_length FROM c),
+v AS (SELECT rid, l, s, base_failed, measure, value, slack FROM m, LATERAL (VALUES {_MEASURES}) AS x(measure, value, slack)),
+sketch AS (SELECT l, s, measure, CASE WHEN value > 1e-6 THEN CAST(ceil(ln(value) / {math.log(GAMMA)!r}::DOUBLE) AS INTEGER) END AS bucket, count(*) AS c FROM v WHERE NOT base_failed GROUP BY ALL),
+{_level("f0", "l, s")},
+{_level("f1", "l")},
+{_level("f2", "")},
+x AS (SELECT rid, bool_and(value <= greatest(coalesce(CASE WHEN f0.n >= {LEAST} THEN f0.fence WHEN f1.n >= {LEAST} THEN f1.fence ELSE f2.fence END, 0), slack)) AS good
+  FROM v LEFT JOIN f0 USING (l, s, measure) LEFT JOIN f1 USING (l, measure) LEFT JOIN f2 USING (measure) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM m JOIN x USING (rid)
+"""
