@@ -17,9 +17,11 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,23 +31,22 @@ from strandsift.plans.planner import spread
 
 CAPACITY = 4096
 END_ID = 1
-#: Units and chunks of text whose ids a worker keeps, some 200 bytes each.
-UNITS, CHUNKS = 200_000, 300_000
+#: Chunks and units whose ids a worker keeps for good, the first that it meets, and for a while, some 150 bytes each.
+KEPT, RECENT = 300_000, 200_000
 
 _LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: White space to str.split(), but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Characters that are neither letters, numbers nor white space.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CHUNK = re.compile(r"[^ \n\t\r]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, from the ids of their parts, which are kept.
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, from the ids of their chunks, which are kept.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its parts. Texts in Latin-1 are
-    lower-cased and cut by the pre-tokenizer's own pattern, after which each part is one unit that ends with an id of a word's end; others are
-    cut at blanks and line ends and encoded as they are.
+    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between blanks. Chunks in
+    Latin-1 are lower-cased and cut by the pre-tokenizer's own pattern, after which each part is one unit that ends with an id of a word's end;
+    others are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,61 +62,63 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.units: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _learn_units(self, units: list[str]) -> None:
         ids = np.array(self.units_only.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        for unit, a, b in zip(units, [0, *stops], stops, strict=False):
-            self.units[unit] = ids[a:b].tobytes()
-
-    def _latin(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of lower-case chunks without white space."""
-        if not missing:
-            return {}
-        if len(self.units) > UNITS:
-            self.units.clear()
-        units, cut = self.units, []
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        self.known.update({unit: raw[a:b] for unit, a, b in zip(units, [0, *stops[:-1]], stops, strict=True)})
+
+    def _learn(self, missing: list[str]) -> None:
+        """Chunks without blanks, and the units that they consist of."""
+        known, units, cut, others = self.known, set(), {}, []
         for x in missing:
-            word = x.rstrip(_MARKS)
-            if word.isalpha():  # letters, then marks at most: two units
-                cut.append((word, x[len(word) :]) if len(word) < len(x) else (word,))
-            else:
-                cut.append(_LATIN.findall(x))
-        if new := {x for parts in cut for x in parts if x not in units}:
-            self._learn_units(list(new))
-        return {x: units[parts[0]] if len(parts) == 1 else b"".join([units[y] for y in parts]) for x, parts in zip(missing, cut, strict=True)}
-
-    def _others(self, missing: list[str]) -> dict[str, bytes]:
-        if not missing:
-            return {}
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        return {x: np.array(y.ids, "<u4").tobytes() for x, y in zip(missing, found, strict=True)}
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. What is new in all of them is encoded at once."""
-        cut, latin, other = [], set(), set()
-        for text in texts:
-            plain = not _SEPARATORS.search(text)
-            if plain and not text.isascii():
+            if not x.isascii():
                 try:
-                    text.encode("latin-1")
+                    x.encode("latin-1")
                 except UnicodeEncodeError:
-                    plain = False
-            chunks = text.lower().split() if plain else _CHUNK.findall(text)
-            (latin if plain else other).update(chunks)
-            cut.append(chunks)
-        known = self.chunks
-        new = self._latin([x for x in latin if x not in known])
-        new |= self._others([x for x in other if x not in known and x not in new])
-        if len(known) < CHUNKS:
-            known |= new
-            return [b"".join([known[x] for x in chunks]) for chunks in cut]
-        return [b"".join([new[x] if x in new else known[x] for x in chunks]) for chunks in cut]
+                    others.append(x)
+                    continue
+            if _SEPARATORS.search(x):
+                others.append(x)
+                continue
+            small = x.lower()
+            if small.isalpha():
+                parts = (small,)
+            else:
+                word = small.rstrip(_MARKS)
+                parts = (word, small[len(word) :]) if word.isalpha() else _LATIN.findall(small)
+            units.update([y for y in parts if y not in known])
+            if parts != (x,):
+                cut[x] = parts
+        if units:
+            self._learn_units(list(units))
+        known.update({x: b"".join([known[y] for y in parts]) for x, parts in cut.items()})
+        if others:
+            found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            known.update({x: np.array(y.ids, "<u4").tobytes() for x, y in zip(others, found, strict=True)})
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; a null has none. What is new in all of them is encoded at once."""
+        known, lists = self.known, pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        self._learn([x for x in distinct if x not in known])
+        found = [known[x] for x in distinct]
+        if len(known) > KEPT + RECENT:
+            for x in list(known)[KEPT:]:
+                del known[x]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = chunks.indices.to_numpy()
+        upto = np.r_[0, np.cumsum(size[which])]
+        place = np.repeat((np.cumsum(size) - size)[which] - upto[:-1], size[which]) + np.arange(upto[-1])
+        raw = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        at = (4 * upto[lists.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in pairwise(at)]
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+        return self.many(pa.array([text], pa.string()))[0]
 
 
 @functools.cache
@@ -142,7 +145,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encode = _tokenizer(path)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, found in enumerate(encode.many([x or "" for x in batch.column(1).to_pylist()])):
+            for i, found in enumerate(encode.many(batch.column(1))):
                 found += end
                 for k, at in enumerate(range(0, len(found), 4 * capacity)):
                     part = found[at : at + 4 * capacity]

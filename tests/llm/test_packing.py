@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,13 +36,20 @@ def test_ids_of_any_text(text):
 
 
 def test_cache_runs_over(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "UNITS", 10)
-    monkeypatch.setattr(packing, "CHUNKS", 10)
+    monkeypatch.setattr(packing, "KEPT", 10)
+    monkeypatch.setattr(packing, "RECENT", 10)
     own = packing.WordTokenizer(vocabulary_path())
     for text in ["one two three four five six", "seven eight nine ten eleven twelve, one two", "three four thirteen fourteen - one"] * 3:
         assert np.frombuffer(own(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_at_once(tokenizer):
+    texts = [*ODD, None, "", "One, one. ONE", *ODD]
+    found = packing.WordTokenizer(vocabulary_path()).many(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert packing.WordTokenizer(vocabulary_path()).many(pa.array([], pa.string())) == []
+
+
 def fill(counts, capacity):
     """Bins by the plan: a list of (offset, length) for each."""
     plan, total = best_fit_plan(counts, capacity)
