@@ -4,7 +4,9 @@ Each document is measured; a measure that is unusually high for its language and
 values by logarithmic bucket (relative error ERROR), one sketch for each (language, source, measure). Sketches merge by adding their counts, which is
 how tasks, then sources, then languages combine: a (language, source) of under LEAST documents takes its language's merged sketch, a language of under
 LEAST all documents'. The threshold is upper quartile + SPREAD * (upper - lower quartile), and at least the measure's slack, so that a source
-of clean texts doesn't reject its own tail. Thresholds then join the documents.
+of clean texts doesn't reject its own tail. Where over a quarter of a sketch is junk, its upper quartile is junk too, so the threshold is bounded by
+what its low end shows: lower quartile + REACH * (lower quartile - 5 % quantile), or twice the lower quartile if that is more. Junk raises the bound
+only from three quarters on. Thresholds then join the documents.
 
 Scale: a sketch has a few hundred rows at most, summed before they are shuffled, so a hot source is no hot task. Measuring is one pass without
 shuffles; the thresholds (one row for each language and source) are broadcast if there are few, else joined.
@@ -31,6 +33,8 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = bytes(range(65, 91))
 ERROR, SPREAD, LEAST = 0.01, 3.0, 200
+#: On a normal distribution the bound then lies where the threshold does.
+REACH = 5.5
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: A measure's threshold is this at least.
 SLACK = {"symbol_rate": 0.05, "line_rate": 0.5, "repeat_rate": 0.2, "upper_rate": 0.3, "mark_rate": 0.1, "word_length": 12.0}
@@ -124,8 +128,10 @@ def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
     own = materialise(sketches(measured, lang_col, source_col), "sketches")
     fences = []
     for level, keys in enumerate((["__lang", "__source"], ["__lang"], [])):
-        found = quantiles(merge(own, *keys) if level else own, keys, {"low": 0.25, "high": 0.75})
-        fences.append(found.select(*keys, "measure", F.col("n").alias(f"n{level}"), (F.col("high") + SPREAD * (F.col("high") - F.col("low"))).alias(f"fence{level}")))
+        found = quantiles(merge(own, *keys) if level else own, keys, {"least": 0.05, "low": 0.25, "high": 0.75})
+        bound = F.greatest(F.col("low") + REACH * (F.col("low") - F.col("least")), 2 * F.col("low"))
+        fence = F.least(F.col("high") + SPREAD * (F.col("high") - F.col("low")), bound)
+        fences.append(found.select(*keys, "measure", F.col("n").alias(f"n{level}"), fence.alias(f"fence{level}")))
     pairs = measured.select(null_key(lang_col).alias("__lang"), null_key(source_col).alias("__source")).distinct()
     slack = F.explode(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])).alias("measure", "slack")
     rows = pairs.select("*", slack).join(fences[0], ["__lang", "__source", "measure"], "left").join(fences[1], ["__lang", "measure"], "left").join(fences[2], ["measure"], "left")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -65,6 +66,31 @@ def test_thresholds_adapt(spark):
     assert not kept[5000]
 
 
+def test_sources_full_of_junk(spark):
+    """Junk that is 30 to 70 % of a source is rejected, whichever measure shows it; the source's clean texts are kept."""
+    rng = random.Random(9)
+    junk = {
+        "symbols": lambda i: " ".join(f"w{i}x{j}###" for j in range(30)),
+        "capitals": lambda i: " ".join(f"W{i}XABCDE{j}" for j in range(30)),
+        "marks": lambda i: " ".join(f"w{i}x{j}" + "!" * (j % 2) for j in range(30)),
+        "lines": lambda i: "\n".join(rng.choice("abcdefghijklmnop") for _ in range(60)),
+        "long": lambda i: " ".join(f"w{i}x{j}".ljust(18, "y") for j in range(30)),
+    }
+    rows, bad = [], set()
+    for kind, make in junk.items():
+        for share in (30, 50, 70):
+            for i in range(300):
+                if i % 100 < share:
+                    bad.add(len(rows))
+                rows.append((len(rows), make(i) if i % 100 < share else "Some clean words. " + " ".join(f"w{i}x{j}" for j in range(20)), "en", f"{kind}{share}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality.judge(df).collect()
+    base = {r.doc_id for r in found if r.base_failed}
+    assert len(base) < 200
+    assert {r.doc_id for r in found if not r.kept} == bad | base
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {r.doc_id for r in found if r.kept}
+
+
 def test_quantiles_are_near(spark):
     """Within the sketch's relative error, also after merging."""
     values = spark.range(5000).select((F.col("id") % 977 + 1).cast("double").alias("v"), F.lit("m").alias("measure"), (F.col("id") % 3).alias("k"))
