@@ -11,17 +11,20 @@ that one is no single task either. A conversation is not gathered in a row: one
 
 Ties: of calls with the same identifier in a conversation the first counts (smallest turn, then place); rows that repeat a turn are kept, in order of
 their texts. Null turns come last. A null conversation is one of its own. Text that isn't a JSON object, or has neither tool_calls nor
-tool_call_id, is plain; null text has no content. Cycles end after WAITS rounds: their messages stay in order of turn behind what they wait for.
+tool_call_id, is plain; null text has no content. Chains of any length are put in order. Messages that wait for themselves (a cycle in depends_on)
+get the problem CYCLE; within a cycle only results wait, for their calls, and messages behind it still wait for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsift.llm.common import materialise, null_key, rank_within
 
-WAITS, RANGE, LAST = 64, 256, (1 << 62)
+RANGE, LAST, CYCLE = 256, (1 << 62), "waits for itself"
 #: Tools, their parameters' JSON types and whether they are required.
 SCHEMAS = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
@@ -69,23 +72,84 @@ def calls_of(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
     return calls.withColumn("problems", problems).drop("given", "spec")
 
 
-def order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(__key, __at, __hops) for nodes (__key, __turn) that have to wait; edges (before, after) between keys.
+def _waiting(open_edges: DataFrame) -> DataFrame:
+    """(__key, n_open, up, up_hops): how many messages each still waits for, and one of them."""
+    return open_edges.groupBy(F.col("after").alias("__key")).agg(F.count(F.lit(1)).alias("n_open"), F.max("before").alias("up"), F.max("hops").alias("up_hops"))
+
+
+def _settle(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(__key, __at, __hops, n_open) for nodes in edges; and the edges (before, after) that remain if there are cycles, else None.
 
-    A message goes to the latest place of what it waits for, one hop behind it.
+    In each round, edges from settled messages are dealt with, and an edge from a message that waits for one other only is moved on to that one, so
+    that a chain takes as many rounds as its length has binary digits. A round without a settled message at any edge's begin means cycles.
     """
     touched = edges.select(F.col("before").alias("__key")).union(edges.select("after")).distinct()
-    state = materialise(nodes.join(touched, "__key").select("__key", "__turn", F.col("__turn").alias("__at"), F.lit(0).alias("__hops")), "chat-order")
-    for _ in range(WAITS):
-        ahead = edges.join(state.select(F.col("__key").alias("before"), "__at", "__hops"), "before").groupBy("after").agg(F.max(F.struct("__at", F.col("__hops") + 1)).alias("wait"))
-        new = state.join(ahead.withColumnRenamed("after", "__key"), "__key", "left")
-        moved = F.greatest(F.struct(F.col("__turn").alias("__at"), F.lit(0).alias("__hops")), F.struct(F.col("wait.__at").alias("__at"), F.col("wait.col2").alias("__hops")))
-        new = new.withColumn("place", F.when(F.col("wait").isNull(), F.struct("__at", "__hops")).otherwise(moved))
-        new = materialise(new.select("__key", "__turn", F.col("place.__at").alias("__at"), F.col("place.__hops").alias("__hops"), ((F.col("place.__at") != F.col("__at")) | (F.col("place.__hops") != F.col("__hops"))).alias("moved")), "chat-order")
-        state = new.drop("moved")
+    most = touched.count()
+    still = materialise(edges.select("before", "after", F.lit(1).cast("long").alias("hops")), "chat-open")
+    state = nodes.join(touched, "__key").select("__key", F.col("__turn").alias("__at"), F.lit(0).cast("long").alias("__hops")).join(_waiting(still), "__key", "left")
+    state = materialise(state.withColumn("n_open", F.coalesce("n_open", F.lit(0))), "chat-order")
+    while not still.isEmpty():
+        step = materialise(still.join(state.withColumnRenamed("__key", "before"), "before"), "chat-step")
+        if step.where("n_open = 0").isEmpty():
+            return state, edges.join(state.where("n_open > 0").select(F.col("__key").alias("before")), "before").select("before", "after")
+        ahead = step.groupBy(F.col("after").alias("__key")).agg(F.max(F.struct("__at", (F.col("__hops") + F.col("hops")).alias("__hops"))).alias("wait"))
+        on = F.col("n_open") == 1
+        moved = step.where("n_open > 0").select(F.when(on, F.col("up")).otherwise(F.col("before")).alias("before"), "after", F.when(on, F.least(F.col("hops") + F.col("up_hops"), F.lit(most))).otherwise(F.col("hops")).alias("hops"))
+        still = materialise(moved.groupBy("before", "after").agg(F.max("hops").alias("hops")), "chat-open")
+        place = F.greatest(F.struct("__at", "__hops"), F.col("wait"))
+        state = state.select("__key", "__at", "__hops").join(ahead, "__key", "left").select("__key", place.alias("place")).select("__key", "place.*").join(_waiting(still), "__key", "left")
+        state = materialise(state.withColumn("n_open", F.coalesce("n_open", F.lit(0))), "chat-order")
+    return state, None
+
+
+def _until_same(labels: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """labels (__key, label) after as many steps as change any; a step gives (__key, new) with labels that are not less."""
+    while True:
+        new = labels.join(step(labels).groupBy("__key").agg(F.max("new").alias("new")), "__key", "left")
+        new = materialise(new.select("__key", F.greatest("label", "new").alias("label"), (F.col("new") > F.col("label")).alias("moved")), "chat-labels")
+        labels = new.drop("moved")
         if new.where("moved").isEmpty():
+            return labels
+
+
+def _first_cycles(edges: DataFrame) -> DataFrame:
+    """(__key, root): messages in cycles, at least of those that wait for no other cycle; root: the same for messages that wait for each other.
+
+    The greatest key goes to all that wait for it, directly or not; what it reaches and is reached from waits for itself.
+    """
+    keys = edges.select(F.col("before").alias("__key")).union(edges.select("after")).distinct()
+    roots = _until_same(keys.withColumn("label", F.col("__key")), lambda x: edges.join(x.withColumnRenamed("__key", "before"), "before").select(F.col("after").alias("__key"), F.col("label").alias("new")))
+    same = edges.join(roots.select(F.col("__key").alias("before"), F.col("label").alias("root")), "before").join(roots.select(F.col("__key").alias("after"), F.col("label").alias("root")), ["after", "root"])
+    same = materialise(same, "chat-same")
+    back = roots.select("__key", (F.col("__key") == F.col("label")).cast("int").alias("label"))
+    back = _until_same(back, lambda x: same.join(x.withColumnRenamed("__key", "after"), "after").select(F.col("before").alias("__key"), F.col("label").alias("new")))
+    members = roots.withColumnRenamed("label", "root").join(back.where("label = 1").select("__key"), "__key")
+    several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    return materialise(members.join(several, "root").select("__key", "root"), "chat-cycles")
+
+
+def order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(__key, __at, __hops, cyclic) for nodes (__key, __turn) that have to wait; edges (before, after, link) between keys, link: from a call to its result.
+
+    A message goes to the latest place of what it waits for, one hop behind it. Cycles lose the edges among their messages that are no links, or all
+    if there are only links; the rest of the order holds.
+    """
+    cyclic = None
+    while True:
+        state, left = _settle(nodes, edges)
+        if left is None:
             break
-    return state.select("__key", "__at", "__hops")
+        found = _first_cycles(materialise(left, "chat-left"))
+        cyclic = found.select("__key") if cyclic is None else materialise(cyclic.union(found.select("__key")).distinct(), "chat-cyclic")
+        inside = edges.join(found.select(F.col("__key").alias("before"), "root"), "before").join(found.select(F.col("__key").alias("after"), "root"), ["after", "root"])
+        mixed = inside.where("not link").select("root").distinct().withColumn("mixed", F.lit(True))
+        cut = inside.join(mixed, "root", "left").where("not link or mixed is null").select("before", "after")
+        edges = materialise(edges.join(cut, ["before", "after"], "left_anti"), "chat-edges")
+    state = state.select("__key", "__at", "__hops")
+    if cyclic is None:
+        return state.withColumn("cyclic", F.lit(False))
+    alone = cyclic.join(state, "__key", "left_anti").join(nodes, "__key").select("__key", F.col("__turn").alias("__at"), F.lit(0).cast("long").alias("__hops"))
+    return state.unionByName(alone).join(cyclic.withColumn("cyclic", F.lit(True)), "__key", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
@@ -104,8 +168,9 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = results.join(first, ["__conv", "call_id"], "left").select("__conv", "call_id", "__key", F.col("of.key").alias("from"))
     links = materialise(links.distinct(), "chat-links")
     waits = calls.where(F.size("depends_on") > 0).select("__conv", F.col("__key").alias("after"), F.explode("depends_on").alias("call_id"))
-    waits = waits.join(links.where(F.col("from").isNotNull()).select("__conv", "call_id", F.col("__key").alias("before")), ["__conv", "call_id"]).select("before", "after")
-    edges = links.where(F.col("from").isNotNull()).select(F.col("from").alias("before"), F.col("__key").alias("after")).unionByName(waits).where("before <> after").distinct()
+    waits = waits.join(links.where(F.col("from").isNotNull()).select("__conv", "call_id", F.col("__key").alias("before")), ["__conv", "call_id"]).select("before", "after", F.lit(False).alias("link"))
+    edges = links.where(F.col("from").isNotNull()).select(F.col("from").alias("before"), F.col("__key").alias("after"), F.lit(True).alias("link")).unionByName(waits)
+    edges = edges.where("before <> after").groupBy("before", "after").agg(F.max("link").alias("link"))
     edges = materialise(edges, "chat-edges")
     answered = links.where(F.col("from").isNotNull()).select("__conv", "call_id").distinct().withColumn("answered", F.lit(1))
     by_message = calls.join(answered, ["__conv", "call_id"], "left").groupBy("__key").agg(
@@ -115,9 +180,10 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     linked = links.groupBy("__key").agg(F.max(F.col("from").isNotNull()).alias("linked"))
     keys = special.select("__key", "__turn").distinct()
     facts = keys.select("__key").join(by_message, "__key", "left").join(linked, "__key", "left").join(order_keys(keys, edges), "__key", "left")
-    plain = rows.where(F.col("__body").isNull()).withColumns({"__at": F.col("__turn"), "__hops": F.lit(0), "n_calls": F.lit(0).cast("long"), "n_answered": F.lit(0).cast("long"), "problems": F.array().cast("array<string>"), "linked": F.lit(None).cast("boolean")})
+    plain = rows.where(F.col("__body").isNull()).withColumns({"__at": F.col("__turn"), "__hops": F.lit(0).cast("long"), "n_calls": F.lit(0).cast("long"), "n_answered": F.lit(0).cast("long"), "problems": F.array().cast("array<string>"), "linked": F.lit(None).cast("boolean")})
     calling = special.join(facts, "__key")
     calling = calling.withColumns({"__at": F.coalesce("__at", "__turn"), "__hops": F.coalesce("__hops", F.lit(0)), "n_calls": F.coalesce("n_calls", F.lit(0)), "n_answered": F.coalesce("n_answered", F.lit(0)), "problems": F.coalesce("problems", F.array().cast("array<string>"))})
+    calling = calling.withColumn("problems", F.when(F.col("cyclic"), F.array_append("problems", F.lit(CYCLE))).otherwise(F.col("problems"))).drop("cyclic")
     both = plain.unionByName(calling)
     content = F.when(F.col("__body").isNull(), F.col("text")).otherwise(F.try_variant_get("__body", "$.content", "string"))
     both = both.withColumn("json", F.to_json(F.struct(content.alias("content"), F.col("conv_id"), F.col("role"), F.col("__result").alias("tool_call_id"), F.when(F.size("__calls") >= 0, F.col("__calls")).alias("tool_calls"), F.col("turn"))))

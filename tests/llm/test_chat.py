@@ -101,6 +101,45 @@ def test_chains_against_a_model(spark):
     assert all(found[c, a] < found[c, b] for c, a, b in waits)
 
 
+def chain(conv, turns):
+    """Messages of calls that each wait for the last one's result, in the order that is right, at turns."""
+    rows = []
+    for i in range(len(turns) // 2):
+        rows.append((conv, turns[2 * i], "assistant", calls(call(f"k{i}", depends_on=[f"k{i - 1}"] if i else []))))
+        rows.append((conv, turns[2 * i + 1], "tool", result(f"k{i}", str(i))))
+    return rows
+
+
+def test_long_chains(spark):
+    """Reversed, equal and null turns, some hundred messages."""
+    own = {1: chain(1, list(range(400))[::-1]), 2: chain(2, [5] * 400), 3: chain(3, [None] * 300)}
+    places = {c: {text: i for i, (*_, text) in enumerate(rows)} for c, rows in own.items()}
+    found = chats(spark, [x for rows in own.values() for x in rows]).collect()
+    for c, rows in own.items():
+        order = sorted((r for r in found if r.conv_id == c), key=lambda r: r.position)
+        right = [(json.loads(t).get("tool_call_id"), json.loads(t).get("tool_calls", [{}])[0].get("id")) for t in places[c]]
+        assert [(r.answers, json.loads(r.json).get("tool_calls", [{}])[0].get("id")) for r in order] == right
+        assert len(rows) == len(order)
+    assert not any(r.problems for r in found)
+
+
+def test_cycles_are_marked(spark):
+    """Messages of cycles are marked; those behind and between cycles still wait."""
+    needs = {"a": ["c"], "b": ["a"], "c": ["b"], "d": ["c"], "e": ["d", "f"], "f": ["e"], "g": ["f"], "h": []}
+    rows = [(1, 100 - 2 * i, "assistant", calls(call(x, depends_on=own))) for i, (x, own) in enumerate(needs.items())]
+    rows += [(1, 99 - 2 * i, "tool", result(x)) for i, x in enumerate(needs)]
+    found = chats(spark, rows).collect()
+    of = {("result", r.answers) if r.answers else ("call", json.loads(r.json)["tool_calls"][0]["id"]): r for r in found}
+    assert len(of) == len(rows) == len(found)
+    for (_, x), r in of.items():
+        assert r.problems == (["waits for itself"] if x in "abcef" else [])
+    assert sorted(r.position for r in found) == list(range(len(rows)))
+    for x in needs:
+        assert of["call", x].position < of["result", x].position
+    for x, y in (("c", "d"), ("d", "e"), ("f", "g")):
+        assert of["result", x].position < of["call", y].position
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "user", "last"), (None, 0, "user", "q"), (None, 1, "user", "r"), (2, 0, "assistant", calls()), (2, 1, "assistant", calls(call("a"))), (2, 2, "assistant", calls(call("a"))), (2, 3, "tool", result("a"))]
     rows += [(3, 0, "assistant", calls(call("x", depends_on=["y"]))), (3, 1, "tool", result("x")), (3, 2, "assistant", calls(call("y", depends_on=["x"]))), (3, 3, "tool", result("y"))]
