@@ -7,7 +7,7 @@ verified, then the original vectors are compared. If the balls would touch more
 instead, which retrieves the same. The radius is learned on the sample as well: the one that holds RECALL of its true neighbours.
 
 Scale: rows are dealt into blocks of at most BLOCK, shuffled once; each block builds its tables and streams all queries past them, giving the k
-nearest of each. Of vectors that are equal, the k + 1 with the smallest ids take part (no other can be among anyone's k nearest), found by a
+nearest of each, with as many more as its own id may take up. Of vectors that are equal, the k + 1 with the smallest ids take part (no other can be among anyone's k nearest), found by a
 limit inside each task before the shuffle; queries that are equal are searched once. Queries with fewer than k neighbours within the radius are
 searched again without a radius. The model is fitted on at most about SAMPLE vectors.
 
@@ -71,6 +71,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, model: Codes) -> None:
         self.ids, self.vectors, self.model = ids, vectors, model
+        self.alone = len(np.unique(ids)) == len(ids)
         self.codes = model(vectors.astype(np.float64))
         width = max(1, min(16, int(np.log2(max(2, len(ids))))))
         parts = -(-model.bits // width)
@@ -109,14 +110,27 @@ class Block:
         return places[np.bitwise_count(self.codes[places] ^ code) <= radius]
 
     def nearest(self, query: np.ndarray, code: np.uint64, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest within radius, ties to smaller ids."""
+        """Ids and distances of rows within radius that hold the k nearest of another id, whichever id asks; ties to smaller ids.
+
+        These are the k + 1 nearest if ids don't repeat, else the 2 k nearest of the k nearest of each id.
+        """
         places = self.within(code, radius)
         away = np.sqrt(((self.vectors[places].astype(np.float64) - query) ** 2).sum(1))
-        if len(places) > 4 * k:
-            some = away <= np.partition(away, k - 1)[k - 1]
-            places, away = places[some], away[some]
-        best = np.lexsort((self.ids[places], away))[:k]
-        return self.ids[places][best], away[best]
+        most, look = (k + 1 if self.alone else 2 * k), 4 * (k + 1)
+        while True:
+            some, near = places, away
+            if len(places) > look:
+                cut = away <= np.partition(away, look - 1)[look - 1]
+                some, near = places[cut], away[cut]
+            best = np.lexsort((self.ids[some], near))
+            if not self.alone:
+                own = self.ids[some][best]
+                order = np.argsort(own, kind="stable")
+                begins = np.searchsorted(own[order], own[order])
+                best = best[np.sort(order[np.arange(len(own)) - begins < k])]
+            if len(best) >= most or len(some) == len(places):
+                return self.ids[some][best[:most]], near[best[:most]]
+            look *= 8
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -125,7 +139,7 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def _search(rows: DataFrame, queries: DataFrame, model: Codes, k: int, blocks: int, radius: int) -> DataFrame:
-    """(query, id, away): the k nearest rows (id, vector) in each block within radius of each of queries (query, vector)."""
+    """(query, id, away): rows (id, vector) near each of queries (query, vector) within radius, as Block.nearest gives them for each block."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -192,13 +206,13 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     blocks = max(-(-total // block_rows), spark.sparkContext.defaultParallelism)
 
     def search(queries: DataFrame, within: int) -> DataFrame:
-        return _best(_search(once, queries, model, k + 1, blocks, within), ["query"], k + 1).drop("rank")
+        return _best(_search(once, queries, model, k, blocks, within), ["query"], 2 * k).drop("rank")
 
     within = model.radius if radius is None else radius
     found = materialise(search(classes, within), "ann-found")
-    ids = once.agg(F.count_distinct("id")).first()[0]
-    few = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    few = classes.join(few, "query", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, ids)).drop("n")
+    others = members.join(found, "query").where("id <> query_id").groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"))
+    short = members.join(others, ["query_id", "query"], "left").where(F.coalesce("n", F.lit(0)) < k).select("query").distinct()
+    few = classes.join(short, "query")
     if within < model.bits and not few.isEmpty():
         few = materialise(few, "ann-few")
         found = materialise(found.join(few.select("query"), "query", "left_anti").unionByName(search(few, model.bits)), "ann-found")

@@ -65,6 +65,21 @@ def test_without_a_radius_it_is_exact(spark):
     assert all(len(own) == 10 for own in narrow.values())
 
 
+@pytest.mark.parametrize("radius", [16, None, 0])
+def test_an_id_with_many_vectors(spark, radius):
+    """Its own rows don't take up its neighbours' places, whatever the radius; nor do another id's many rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([clusters(400, 16, 3), np.float32([2.0] * 16) + 0.001 * rng.normal(size=(60, 16)).astype(np.float32), np.float32([-2.0] * 16) + 0.001 * rng.normal(size=(30, 16)).astype(np.float32)])
+    ids = np.r_[np.arange(1000, 1400), np.full(60, 100), np.full(30, 7)]
+    found = nearest(spark.createDataFrame([(int(i), v.tolist(), "r") for i, v in zip(ids, x, strict=True)], SCHEMA), radius=radius, block_rows=100).collect()
+    assert not any(r.query_id == r.vec_id for r in found)
+    expected = [(int(ids[q]), r + 1, i, pytest.approx(s, abs=1e-9)) for q in range(len(ids)) if ids[q] % 100 == 0 for r, (i, s) in enumerate(truth(ids, x, q, 10))]
+    assert len(found) == len(expected)
+    if radius == 16:
+        key = lambda x: (x[0], x[1], x[3] if isinstance(x[3], float) else x[3].expected)
+        assert [tuple(r) for r in sorted(found, key=lambda r: (r[0], r[1], r[3]))] == sorted(expected, key=key)
+
+
 def test_many_equal_vectors(spark):
     x = np.concatenate([np.tile(np.float32([1, 2, 3, 4]), (1500, 1)), clusters(300, 4)])
     ids = np.random.default_rng(0).permutation(1800)
