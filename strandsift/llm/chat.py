@@ -4,7 +4,8 @@ A message's text is plain, or a JSON object: {"content", "tool_calls": [{"id", "
 {"tool_call_id", "content"} is a result. Calls and results are linked by a hash join on (conversation, identifier). Messages are put in topological
 order: a result after its call, a call after the results of the calls in depends_on, else by turn; a message that must wait moves to just behind
 what it waits for. Arguments (an object, or a string that holds one) are validated against the tool's schema. Every message is serialised as canonical
-JSON: keys in order, no blanks, absent values left out.
+JSON: keys in order, no blanks, absent values left out. That is the whole JSON object, with arguments parsed that are a string which holds an object;
+keys of it that are named as a column (conv_id, role, turn) or `body` stand below `body`.
 
 Scale: the join's key has the call's identifier, so a long conversation spreads. Positions within a conversation are counted in ranges of turns, so
 that one is no single task either. A conversation is not gathered in a row: one message a row. The schemas are a parameter, held in the plan.
@@ -36,6 +37,16 @@ _KIND = (
     "case when schema_of_variant({0}) = 'BIGINT' then 'integer' when schema_of_variant({0}) = 'STRING' then 'string' when schema_of_variant({0}) = 'BOOLEAN' then 'boolean' "
     "when schema_of_variant({0}) like 'OBJECT%' then 'object' when schema_of_variant({0}) like 'ARRAY%' then 'array' when schema_of_variant({0}) = 'VOID' then 'null' else 'number' end"
 )
+_PARSED = "try_parse_json(case when schema_of_variant(variant_get(c, '$.arguments', 'variant')) = 'STRING' then try_variant_get(c, '$.arguments', 'string') end)"
+_CALLS = f"""transform(__calls, c -> case when schema_of_variant({_PARSED}) like 'OBJECT%' then to_variant_object(map_concat(
+    map_filter(try_variant_get(c, '$', 'map<string,variant>'), (k, v) -> k <> 'arguments'), map('arguments', {_PARSED}))) else c end)"""
+_OWN, _BODY, _NONE = "('body', 'conv_id', 'role', 'turn')", "try_variant_get(__body, '$', 'map<string,variant>')", "cast(map() as map<string,variant>)"
+#: A body's keys and the row's columns, as JSON. A variant's keys are in order.
+_WHOLE = f"""to_json(to_variant_object(map_concat(
+    map_filter({_BODY}, (k, v) -> k not in {_OWN} and not (k = 'tool_calls' and __calls is not null) and not (k in ('content', 'tool_call_id', 'tool_calls') and is_variant_null(v))),
+    case when size(map_filter({_BODY}, (k, v) -> k in {_OWN})) > 0 then map('body', to_variant_object(map_filter({_BODY}, (k, v) -> k in {_OWN}))) else {_NONE} end,
+    case when __calls is not null then map('tool_calls', to_variant_object({_CALLS})) else {_NONE} end,
+    map_filter(map('conv_id', cast(conv_id as variant), 'role', cast(role as variant), 'turn', cast(turn as variant)), (k, v) -> v is not null))))"""
 
 
 def _spec(schemas: dict[str, dict[str, tuple[str, bool]]]) -> F.Column:
@@ -185,8 +196,8 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     calling = calling.withColumns({"__at": F.coalesce("__at", "__turn"), "__hops": F.coalesce("__hops", F.lit(0)), "n_calls": F.coalesce("n_calls", F.lit(0)), "n_answered": F.coalesce("n_answered", F.lit(0)), "problems": F.coalesce("problems", F.array().cast("array<string>"))})
     calling = calling.withColumn("problems", F.when(F.col("cyclic"), F.array_append("problems", F.lit(CYCLE))).otherwise(F.col("problems"))).drop("cyclic")
     both = plain.unionByName(calling)
-    content = F.when(F.col("__body").isNull(), F.col("text")).otherwise(F.try_variant_get("__body", "$.content", "string"))
-    both = both.withColumn("json", F.to_json(F.struct(content.alias("content"), F.col("conv_id"), F.col("role"), F.col("__result").alias("tool_call_id"), F.when(F.size("__calls") >= 0, F.col("__calls")).alias("tool_calls"), F.col("turn"))))
+    plainly = F.to_json(F.struct(F.col("text").alias("content"), F.col("conv_id"), F.col("role"), F.col("turn")))
+    both = both.withColumn("json", F.when(F.col("__body").isNull(), plainly).otherwise(F.expr(_WHOLE)))
     both = both.select("__conv", "__at", "__hops", "__turn", "conv_id", "turn", "role", "n_calls", "n_answered", "problems", F.col("__result").alias("answers"), "linked", "json")
     order = [F.col(x) for x in ("__at", "__hops", "__turn", "json")]
     ranked = rank_within(both, ["__conv"], F.least(F.floor(F.col("__at") / RANGE), F.lit(LAST)), order, "position")

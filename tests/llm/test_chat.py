@@ -101,6 +101,23 @@ def test_chains_against_a_model(spark):
     assert all(found[c, a] < found[c, b] for c, a, b in waits)
 
 
+def test_whole_body(spark):
+    """All keys of a body are kept; arguments in a string become the object that they hold, whatever its order and blanks."""
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [call("a", arguments='{"query":"q",  "limit": 1}', extra=[1]), call("b", arguments="{bad"), call("c", arguments="5"), 7], "status": "ok", "a": {"y": 1, "b": None}, "role": "own"})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": [{"type": "text", "t": 1}], "name": "search", "is_error": False, "metadata": None})),
+        (None, None, None, json.dumps({"tool_calls": [call("a", arguments='{ "limit":1, "query":"q"}', extra=[1])], "content": None})),
+    ]
+    found = {r.turn: r.json for r in chats(spark, rows).collect()}
+    same = {"arguments": {"limit": 1, "query": "q"}, "extra": [1], "id": "a", "name": "search"}
+    expected = {
+        0: {"a": {"b": None, "y": 1}, "body": {"role": "own"}, "conv_id": 1, "role": "assistant", "status": "ok", "tool_calls": [same, call("b", arguments="{bad"), call("c", arguments="5"), 7], "turn": 0},
+        1: {"content": [{"t": 1, "type": "text"}], "conv_id": 1, "is_error": False, "metadata": None, "name": "search", "role": "tool", "tool_call_id": "a", "turn": 1},
+        None: {"tool_calls": [same]},
+    }
+    assert found == {k: json.dumps(v, separators=(",", ":"), sort_keys=True) for k, v in expected.items()}
+
+
 def chain(conv, turns):
     """Messages of calls that each wait for the last one's result, in the order that is right, at turns."""
     rows = []
