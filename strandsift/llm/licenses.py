@@ -7,7 +7,7 @@ both sides of `and`, the most of both sides of `or`. The score is the least valu
 
 Scale: one pass without shuffles, each text on its own, whatever its length.
 
-A null text is empty. An expression that isn't well formed adds nothing from where it breaks; one that ends inside brackets adds nothing at all.
+A null text is empty. An expression that isn't well formed adds nothing from where it breaks; one whose brackets never close adds nothing at all.
 Every row gives a row.
 """
 
@@ -51,7 +51,10 @@ OTHER = 0.3
 
 _WORDS = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
 _RAW_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
+_WORD = r"(\(|\)|[A-Za-z0-9.+:-]+)"
+_TOKEN = re.compile(rf"[^\S\r\n]*{_WORD}")
+#: Inside brackets: also behind line ends and the comment marks that follow them.
+_WRAPPED = re.compile(rf"(?:[^\S\r\n]*[\r\n]\s*(?:#+|//+|/?\*+(?!/)|--+|;+|%+|!+|dnl\b|rem\b)?)?\s*{_WORD}", re.IGNORECASE)
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -72,13 +75,18 @@ def label_of(identifier: str) -> str:
     return re.sub(r"^(cc0|cc-by(?:-nc|-sa|-nd)*)-\d.*$|^(lgpl|agpl)-\d.*$", lambda m: m[1] or m[2], x)
 
 
-def to_postfix(text: str) -> list[str] | None:
-    """Shunting-yard: the expression at the start of text in postfix order, as far as it is well formed; None if there is none."""
+def to_postfix(text: str, at: int = 0) -> list[str] | None:
+    """Shunting-yard: the expression at a place of text in postfix order, as far as it is well formed; None if there is none.
+
+    It ends with its line, but goes on over line ends while brackets are open.
+    """
     out: list[str] = []
     stack: list[str] = []
-    at, operand = 0, True
-    while m := _TOKEN.match(text, at):
+    operand = True
+    while m := (_WRAPPED if "(" in stack else _TOKEN).match(text, at):
         token, word = m[1], m[1].lower()
+        if _RAW_TAG.match(text, m.start(1)):
+            break
         if operand:
             if token == "(":
                 stack.append(token)
@@ -144,7 +152,7 @@ def scan(text: bytes | None) -> dict:
             n_base, first, last = n_base + 1, upto if first is None else first, upto
     if tagged:
         for m in _RAW_TAG.finditer(text.decode()):
-            if postfix := to_postfix(m[1]):
+            if postfix := to_postfix(m.string, m.start(1)):
                 found, value, shown = evaluate(postfix)
                 labels |= found
                 values.append(value)

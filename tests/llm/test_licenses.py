@@ -71,3 +71,12 @@ def test_table(spark):
     assert first.score == 0.5
     assert [(s.label, s.first) for s in first.spans if s.label == "mit"] == [("mit", 1), ("mit", 6), ("mit", 11)]
     assert licenses.scan_licenses(df.where("false")).count() == 0
+
+
+def test_brackets_over_lines():
+    """An expression goes on over line ends while brackets are open; a bracket that never closes takes no other tag with it."""
+    for between in ("\n", "\r\n", "\n# ", "\n * ", "\n// ", "\n-- ", "\n\n  "):
+        found = licenses.scan(f"# SPDX-License-Identifier: (MIT OR{between}Apache-2.0) AND{between}GPL-2.0-only".encode())
+        assert (found["labels"], found["expressions"]) == ("apache-2,mit", ["(mit or apache-2)"])
+    assert licenses.scan(b"SPDX-License-Identifier: (MIT OR\nSPDX-License-Identifier: ISC")["expressions"] == ["isc"]
+    assert licenses.scan(b"SPDX-License-Identifier: MIT\nAND ISC")["expressions"] == ["mit"]
