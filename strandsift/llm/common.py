@@ -32,6 +32,17 @@ def with_column(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, in any case of letters."""
+    taken, out = {x.lower() for x in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def null_key(name: str) -> Column:
     """A key that is never null: other for null than for any string."""
     return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit("n"))

@@ -1,17 +1,28 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
-Each document is measured; a measure that is unusually high for its language and source fails it. "Unusually high" is read off sketches: counts of
-values by logarithmic bucket (relative error ERROR), one sketch for each (language, source, measure). Sketches merge by adding their counts, which is
-how tasks, then sources, then languages combine: a (language, source) of under LEAST documents takes its language's merged sketch, a language of under
-LEAST all documents'. The threshold is upper quartile + SPREAD * (upper - lower quartile), and at least the measure's slack, so that a source
-of clean texts doesn't reject its own tail. Where over a quarter of a sketch is junk, its upper quartile is junk too, so the threshold is bounded by
-what its low end shows: lower quartile + REACH * (lower quartile - 5 % quantile), or twice the lower quartile if that is more. Junk raises the bound
-only from three quarters on. Thresholds then join the documents.
+Each document is measured: symbols, capitals, marks, repeated lines, length of words, each a count of events over a number of units. A measure that
+is unusually high for the document's language and source fails it. "Unusually high" is read off sketches: counts of values by logarithmic bucket
+(relative error ERROR), one sketch for each (language, source, measure). Sketches merge by adding their counts, which is how tasks, then sources, then
+languages combine; in a merged sketch no source counts for more than LEAST documents, so that a hot one doesn't speak for all.
+
+A sketch's fence is its upper quartile + SPREAD * (upper - lower quartile). A merged fence (the language's, or all documents' if the language has under
+LEAST) is the threshold of sources of under LEAST documents. Others have their own fence. Where over a quarter of a source is junk, its upper quartile
+is junk too; so its fence is at most what its low end shows, lower quartile + REACH * (lower quartile - 5 % quantile) or twice the lower quartile if
+that is more, which junk raises only from three quarters on (nor does junk with low values bring it under twice the merged lower quartile). A lower
+quartile of zero shows nothing; then the fence is at most the merged fence, which one source can't dominate.
+
+A document fails if its events exceed what its threshold gives for its units by over SIGMAS standard errors (of a count; at least of one event): a
+short text has to be further off than a long one, and a few events prove nothing. No measure has a fixed limit but one: most documents repeat no line,
+so sketches have no scale for those that do, and the share of lines that may be repeated is at least that of words in the base rule. The share
+of repeated words is the base rule's own measure and has no second threshold.
 
 Scale: a sketch has a few hundred rows at most, summed before they are shuffled, so a hot source is no hot task. Measuring is one pass without
-shuffles; the thresholds (one row for each language and source) are broadcast if there are few, else joined.
+shuffles. Thresholds (one row for each language and source) are broadcast if there are few; else those of sources that hold over one in BROADCAST_ROWS of
+all documents are broadcast, and the others, none of them hot, are joined.
 
-A null text has no words and fails the base rule. Null languages and sources are groups of their own. Every row gives a row.
+A null or empty text has no words and fails the base rule. Null languages and sources are groups of their own. Texts are measured whole, whatever their
+length. Ties: a document at its threshold is kept. Repeated rows, also of one id, each count and each give a row. An empty table gives an empty one.
+Columns of other names than those asked for are left alone, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import binary_list, lookup, materialise, null_key, small_batches, with_column
+from strandsift.llm.common import BROADCAST_ROWS, binary_list, materialise, null_key, small_batches, unused, with_column
 from strandsift.plans.planner import spread
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 5, 10, 20
@@ -35,9 +46,12 @@ UPPER = bytes(range(65, 91))
 ERROR, SPREAD, LEAST = 0.01, 3.0, 200
 #: On a normal distribution the bound then lies where the threshold does.
 REACH = 5.5
+SIGMAS = 4.0
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: A measure's threshold is this at least.
-SLACK = {"symbol_rate": 0.05, "line_rate": 0.5, "repeat_rate": 0.2, "upper_rate": 0.3, "mark_rate": 0.1, "word_length": 12.0}
+#: A merged sketch counts documents in this many parts, so that those of a source of over LEAST can count for less than one.
+PARTS = 1000
+#: What is counted, and of how many units.
+MEASURES = {"symbol_rate": ("n_symbols", "word_chars"), "line_rate": ("n_dup_lines", "n_lines"), "upper_rate": ("n_upper", "word_chars"), "mark_rate": ("n_marks", "n_words"), "word_length": ("word_chars", "n_words")}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 
 
@@ -82,18 +96,10 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)]))
 
 
-def rates(prefix: str = "") -> dict[str, F.Column]:
-    def share(a: str, b: str) -> F.Column:
-        return F.col(prefix + a) / F.greatest(F.lit(1), F.col(prefix + b))
-
-    return {
-        "symbol_rate": share("n_symbols", "word_chars"),
-        "line_rate": share("n_dup_lines", "n_lines"),
-        "repeat_rate": share("n_repeat_words", "n_words"),
-        "upper_rate": share("n_upper", "word_chars"),
-        "mark_rate": share("n_marks", "n_words"),
-        "word_length": share("word_chars", "n_words"),
-    }
+def _counts(measure: str, prefix: str = "") -> tuple[F.Column, F.Column]:
+    """A measure's events and units, at least one unit."""
+    events, units = MEASURES[measure]
+    return F.col(prefix + events), F.greatest(F.lit(1), F.col(prefix + units))
 
 
 def base_failed(prefix: str = "") -> F.Column:
@@ -103,7 +109,8 @@ def base_failed(prefix: str = "") -> F.Column:
 
 def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(__lang, __source, measure, bucket, n): counts by bucket; bucket null: zero. Only documents that pass the base rule count."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in rates().items()])).alias("x")
+    values = {x: _counts(x)[0] / _counts(x)[1] for x in MEASURES}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in values.items()])).alias("x")
     rows = measured.where(~base_failed()).select(null_key(lang_col).alias("__lang"), null_key(source_col).alias("__source"), pairs)
     bucket = F.when(F.col("x.value") > 1e-6, F.ceil(F.log(F.col("x.value")) / math.log(GAMMA)).cast("int"))
     return rows.groupBy("__lang", "__source", F.col("x.measure").alias("measure"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -123,32 +130,57 @@ def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataF
     return rows.groupBy(*keys, "measure").agg(F.first("all").alias("n"), *[F.min(F.when(F.col("upto") >= q * F.col("all"), value)).alias(name) for name, q in at.items()])
 
 
+def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, fence, reach: what the low end shows, twice: twice the lower quartile). A bucket's values go up to its edge, which lies above the value that stands for it."""
+    found = quantiles(sketch, keys, {"least": 0.05, "low": 0.25, "high": 0.75})
+    high = F.col("high") * ((GAMMA + 1) / 2)
+    reach = F.greatest(F.col("low") + REACH * (F.col("low") - F.col("least")), 2 * F.col("low"))
+    return found.select(*keys, "measure", (high + SPREAD * (F.col("high") - F.col("low"))).alias("fence"), reach.alias("reach"), (2 * F.col("low")).alias("twice"))
+
+
 def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(__lang, __source, one column for each measure) for every language and source of measured."""
+    """(__lang, __source, __n, one column __max_<measure> for each measure) for every language and source of measured; __n: its documents."""
     own = materialise(sketches(measured, lang_col, source_col), "sketches")
-    fences = []
-    for level, keys in enumerate((["__lang", "__source"], ["__lang"], [])):
-        found = quantiles(merge(own, *keys) if level else own, keys, {"least": 0.05, "low": 0.25, "high": 0.75})
-        bound = F.greatest(F.col("low") + REACH * (F.col("low") - F.col("least")), 2 * F.col("low"))
-        fence = F.least(F.col("high") + SPREAD * (F.col("high") - F.col("low")), bound)
-        fences.append(found.select(*keys, "measure", F.col("n").alias(f"n{level}"), fence.alias(f"fence{level}")))
-    pairs = measured.select(null_key(lang_col).alias("__lang"), null_key(source_col).alias("__source")).distinct()
-    slack = F.explode(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])).alias("measure", "slack")
-    rows = pairs.select("*", slack).join(fences[0], ["__lang", "__source", "measure"], "left").join(fences[1], ["__lang", "measure"], "left").join(fences[2], ["measure"], "left")
-    fence = F.when(F.col("n0") >= LEAST, F.col("fence0")).when(F.col("n1") >= LEAST, F.col("fence1")).otherwise(F.col("fence2"))
-    chosen = F.greatest(F.coalesce(fence, F.lit(0.0)), F.col("slack"))
-    return rows.groupBy("__lang", "__source").agg(*[F.max(F.when(F.col("measure") == x, chosen)).alias(f"__max_{x}") for x in SLACK])
+    docs = F.sum("n").over(Window.partitionBy("__lang", "__source", "measure"))
+    shared = own.withColumn("docs", docs).withColumn("n", F.expr(f"n * {PARTS} * least(docs, {LEAST}) div docs"))
+    merged = []
+    for level, keys in enumerate((["__lang"], []), 1):
+        found = _fences(merge(shared, *keys), keys)
+        bounded = F.least("fence", F.when(F.col("reach") > 0, F.col("reach")))
+        counted = own.groupBy(*keys, "measure").agg(F.sum("n").alias(f"n{level}"))
+        merged.append(found.select(*keys, "measure", bounded.alias(f"fence{level}"), F.col("twice").alias(f"twice{level}")).join(counted, [*keys, "measure"]))
+    mine = _fences(own, ["__lang", "__source"]).drop("twice").join(own.groupBy("__lang", "__source", "measure").agg(F.sum("n").alias("n0")), ["__lang", "__source", "measure"])
+    pairs = measured.groupBy(null_key(lang_col).alias("__lang"), null_key(source_col).alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = pairs.select("*", F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
+    rows = rows.join(mine, ["__lang", "__source", "measure"], "left").join(merged[0], ["__lang", "measure"], "left").join(merged[1], ["measure"], "left")
+    usual, twice = (F.coalesce(F.when(F.col("n1") >= LEAST, F.col(f"{x}1")).otherwise(F.col(f"{x}2")), F.lit(0.0)) for x in ("fence", "twice"))
+    bound = F.when(F.col("reach") > 0, F.greatest("reach", twice)).otherwise(usual)
+    chosen = F.when(F.col("n0") >= LEAST, F.least("fence", bound)).otherwise(usual)
+    chosen = F.when(F.col("measure") == "line_rate", F.greatest(chosen, F.lit(MAX_REPEAT / 100))).otherwise(chosen)
+    return rows.groupBy("__lang", "__source").agg(F.first("__n").alias("__n"), *[F.max(F.when(F.col("measure") == x, chosen)).alias(f"__max_{x}") for x in MEASURES])
+
+
+def _exceeds(measure: str, most: F.Column, prefix: str = "") -> F.Column:
+    events, units = _counts(measure, prefix)
+    expected = most * units
+    return events > expected + SIGMAS * F.sqrt(F.greatest(expected, F.lit(1.0)))
 
 
 def verdicts(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
-    """measured with base_failed and kept, whose names begin with prefix too."""
+    """measured with base_failed and kept, whose names begin with prefix too. limits: as thresholds() gives them."""
     limits = materialise(limits, "thresholds")
-    limits = lookup(limits.withColumnsRenamed({"__lang": "__for_lang", "__source": "__for_source"}), limits.count())
-    joined = measured.join(limits, (null_key(lang_col) == F.col("__for_lang")) & (null_key(source_col) == F.col("__for_source")))
+    names = dict(zip(limits.columns, unused(measured.columns, *limits.columns), strict=True))
+    size = limits.agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("docs")).first()
+    few = F.lit(True) if size["rows"] <= BROADCAST_ROWS else F.col("__n") > size["docs"] // BROADCAST_ROWS
+    same = (null_key(lang_col) == F.col(names["__lang"])) & (null_key(source_col) == F.col(names["__source"]))
+    joined = measured.join(F.broadcast(limits.where(few).withColumnsRenamed(names)), same, "left")
+    if size["rows"] > BROADCAST_ROWS:
+        rest = joined.where(F.col(names["__lang"]).isNull()).select(*[F.col(f"`{c}`") for c in measured.columns])
+        joined = joined.where(F.col(names["__lang"]).isNotNull()).unionByName(rest.join(limits.where(~few).withColumnsRenamed(names), same))
     good = ~base_failed(prefix)
-    for x, value in rates(prefix).items():
-        good &= value <= F.col(f"__max_{x}")
-    return joined.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": good}).drop("__for_lang", "__for_source", *[f"__max_{x}" for x in SLACK])
+    for x in MEASURES:
+        good &= ~_exceeds(x, F.col(names[f"__max_{x}"]), prefix)
+    return joined.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": good}).drop(*names.values())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -165,20 +197,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs that pass. Texts are measured twice, so that they aren't shuffled."""
     measured = materialise(with_measures(docs.select(text_col, lang_col, source_col), text_col).drop(text_col), "measures")
-    judged = verdicts(with_measures(docs, text_col, "__q_"), thresholds(measured, lang_col, source_col), lang_col, source_col, "__q_")
-    return judged.where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    judged = verdicts(with_measures(docs, text_col, prefix), thresholds(measured, lang_col, source_col), lang_col, source_col, prefix)
+    return judged.where(f"{prefix}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-_MEASURES = "".join(f"('{k}', {k}, {SLACK[k]}), " for k in SLACK).rstrip(", ")
-_FENCE = f"min(value) FILTER (WHERE upto >= 0.75 * n) * {1 + SPREAD} - min(value) FILTER (WHERE upto >= 0.25 * n) * {SPREAD}"
+_VALUES = ", ".join(f"('{x}', {events}, greatest(1, {units}))" for x, (events, units) in MEASURES.items())
 
 
-def _level(name: str, keys: str) -> str:
-    """SQL of one level of merged sketches."""
+def _level(name: str, keys: str, counts: str) -> str:
+    """SQL of the fences of one level of sketches."""
     by = f"{keys}, measure" if keys else "measure"
-    return f"""{name} AS (SELECT {by}, any_value(n) AS n, {_FENCE} AS fence FROM (
-  SELECT {by}, sum(c) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(c) OVER (PARTITION BY {by}) AS n, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / {GAMMA + 1!r}::DOUBLE END AS value
-  FROM (SELECT {by}, bucket, sum(c) AS c FROM sketch GROUP BY {by}, bucket)) GROUP BY {by})"""
+    mid = f"CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / {GAMMA + 1!r}::DOUBLE END"
+    return f"""{name}q AS (SELECT {by}, any_value(docs) AS docs, min(value) FILTER (WHERE upto >= 0.05::DOUBLE * n) AS least, min(value) FILTER (WHERE upto >= 0.25::DOUBLE * n) AS low, min(value) FILTER (WHERE upto >= 0.75::DOUBLE * n) AS high FROM (
+  SELECT {by}, sum(c) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(c) OVER (PARTITION BY {by}) AS n, sum(d) OVER (PARTITION BY {by}) AS docs, {mid} AS value
+  FROM (SELECT {by}, bucket, sum({counts}) AS c, sum(n) AS d FROM sketch GROUP BY {by}, bucket)) GROUP BY {by}),
+{name} AS (SELECT {by}, docs, high * {(GAMMA + 1) / 2!r}::DOUBLE + {SPREAD}::DOUBLE * (high - low) AS fence, greatest(low + {REACH}::DOUBLE * (low - least), 2 * low) AS reach, 2 * low AS twice FROM {name}q)"""
 
 
 OP9_SQL = f"""
@@ -192,14 +228,18 @@ c AS (SELECT d.rid, doc_id, l, s, CAST(len(ws) AS BIGINT) AS n_words, CAST(coale
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(o.n, 0) AS BIGINT) AS n_repeat_words,
   len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks
   FROM d JOIN w USING (rid) LEFT JOIN o USING (rid)),
-m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, n_symbols / greatest(1, word_chars) AS symbol_rate, n_dup_lines / greatest(1, n_lines) AS line_rate,
-  n_repeat_words / greatest(1, n_words) AS repeat_rate, n_upper / greatest(1, word_chars) AS upper_rate, n_marks / greatest(1, n_words) AS mark_rate, word_chars / greatest(1, n_words) AS word_length FROM c),
-v AS (SELECT rid, l, s, base_failed, measure, value, slack FROM m, LATERAL (VALUES {_MEASURES}) AS x(measure, value, slack)),
-sketch AS (SELECT l, s, measure, CASE WHEN value > 1e-6 THEN CAST(ceil(ln(value) / {math.log(GAMMA)!r}::DOUBLE) AS INTEGER) END AS bucket, count(*) AS c FROM v WHERE NOT base_failed GROUP BY ALL),
-{_level("f0", "l, s")},
-{_level("f1", "l")},
-{_level("f2", "")},
-x AS (SELECT rid, bool_and(value <= greatest(coalesce(CASE WHEN f0.n >= {LEAST} THEN f0.fence WHEN f1.n >= {LEAST} THEN f1.fence ELSE f2.fence END, 0), slack)) AS good
-  FROM v LEFT JOIN f0 USING (l, s, measure) LEFT JOIN f1 USING (l, measure) LEFT JOIN f2 USING (measure) GROUP BY rid)
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM c),
+v AS (SELECT rid, l, s, base_failed, measure, events, units, events / units AS value FROM m, LATERAL (VALUES {_VALUES}) AS x(measure, events, units)),
+h AS (SELECT l, s, measure, CASE WHEN value > 1e-6 THEN CAST(ceil(ln(value) / {math.log(GAMMA)!r}::DOUBLE) AS INTEGER) END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+sketch AS (SELECT *, n * {PARTS} * least(sum(n) OVER (PARTITION BY l, s, measure), {LEAST}) // sum(n) OVER (PARTITION BY l, s, measure) AS shared FROM h),
+{_level("f0", "l, s", "n")},
+{_level("f1", "l", "shared")},
+{_level("f2", "", "shared")},
+b1 AS (SELECT l, measure, docs, twice, least(fence, CASE WHEN reach > 0 THEN reach END) AS fence FROM f1),
+b2 AS (SELECT measure, twice, least(fence, CASE WHEN reach > 0 THEN reach END) AS fence FROM f2),
+k AS (SELECT rid, events, units, measure, f0.docs AS docs, f0.fence AS own, f0.reach AS reach, coalesce(CASE WHEN b1.docs >= {LEAST} THEN b1.fence ELSE b2.fence END, 0) AS usual, coalesce(CASE WHEN b1.docs >= {LEAST} THEN b1.twice ELSE b2.twice END, 0) AS twice
+  FROM v LEFT JOIN f0 USING (l, s, measure) LEFT JOIN b1 USING (l, measure) LEFT JOIN b2 USING (measure)),
+y AS (SELECT rid, events, units * greatest(CASE WHEN docs >= {LEAST} THEN least(own, CASE WHEN reach > 0 THEN greatest(reach, twice) ELSE usual END) ELSE usual END, CASE WHEN measure = 'line_rate' THEN {MAX_REPEAT / 100}::DOUBLE ELSE 0 END) AS expected FROM k),
+x AS (SELECT rid, bool_and(events <= expected + {SIGMAS}::DOUBLE * sqrt(greatest(expected, 1))) AS good FROM y GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM m JOIN x USING (rid)
 """

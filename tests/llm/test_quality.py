@@ -107,3 +107,56 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judge(df).count() == 0
     assert quality.keep_good(df).count() == 0
+
+
+def test_thresholds_move_with_language_and_source(spark):
+    """No threshold but that of lines has a floor; each follows its own sketch, and verdicts of one text differ."""
+    text = {"code": "x = a $ b | c & d > e * f # g < h % i $$ j && k ", "prose": "words that simply go on and on in "}
+    rows = [(i, text[s] + " ".join(f"{i}{w}{j}" for j in range(20)), lang, s) for lang, w in (("en", "ab"), ("de", "abcdefghijkl")) for s in text for i in range(300)]
+    rows += [(5000, text["code"] + " ".join(f"q{j}" for j in range(20)), "en", "prose"), (5001, text["code"] + " ".join(f"q{j}" for j in range(20)), "en", "code"), (5002, " ".join(f"{j}abcdefghijkl" for j in range(30)), "en", "prose"), (5003, " ".join(f"{j}abcdefghijkl" for j in range(30)), "de", "prose")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {(r["__lang"], r["__source"]): r for r in quality.thresholds(quality.with_measures(df).drop("text")).collect()}
+    assert limits["sen", "scode"]["__max_symbol_rate"] > 0.1
+    assert limits["sen", "sprose"]["__max_symbol_rate"] == 0
+    assert limits["sde", "sprose"]["__max_word_length"] > limits["sen", "sprose"]["__max_word_length"] + 3
+    kept = {r.doc_id: r.kept for r in quality.judge(df).where("doc_id >= 5000").collect()}
+    assert kept == {5000: False, 5001: True, 5002: False, 5003: True}
+
+
+def test_a_hot_source_does_not_speak_for_all(spark):
+    """Two thirds of all rows come from one source full of symbols; a small source has the merged threshold, in which that one counts as LEAST documents."""
+    rows = [(i, " ".join(f"w{i}x{j}##" for j in range(20)), "en", "hot") for i in range(2000)] + [(3000 + i, " ".join(f"w{i}x{j}" for j in range(20)), "en", f"s{i % 10}") for i in range(1000)]
+    rows += [(9000, " ".join(f"w{j}x##" for j in range(20)), "en", "small"), (9001, " ".join(f"w{j}x" for j in range(20)), "en", "small")]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[9000]
+    assert kept[9001]
+    assert all(kept[i] for i in range(2000))
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    """Beyond the broadcast's bound, limits of sources without many documents are joined: the same verdicts."""
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in documents()], "doc_id long, text string, lang string, source string, `__q_kept` int, `__Max_symbol_rate` double")
+    expected, kept = Counter(quality.judge(df).collect()), Counter(r.doc_id for r in quality.keep_good(df).collect())
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 4)
+    assert Counter(quality.judge(df).collect()) == expected
+    found = quality.keep_good(df)
+    assert found.columns == df.columns
+    assert Counter(r.doc_id for r in found.collect()) == kept
+
+
+def test_sketches_decide_where_fixed_cutoffs_do_not(spark):
+    """On the largest small tables verdicts differ from those of the limits 0.05, 0.5, 0.3, 0.1 and 12, and no text that is labelled good is lost by it."""
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"))
+    fixed = {"symbol_rate": 0.05, "line_rate": 0.5, "upper_rate": 0.3, "mark_rate": 0.1, "word_length": 12.0}
+    plainly = ~quality.base_failed()
+    for x, most in fixed.items():
+        events, units = quality.MEASURES[x]
+        plainly &= F.col(events) <= most * F.greatest(F.lit(1), F.col(units))
+    both = judged.withColumn("plainly", plainly).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id", "left").where("kept <> plainly").collect()
+    assert both
+    assert not any(r.quality == 1 and not r.kept for r in both)
