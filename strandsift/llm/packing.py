@@ -4,10 +4,12 @@ Texts become token pieces of at most `capacity` ids. The lengths' histogram (at
 longest first, with counts instead of pieces: a plan row says that the pieces of one length with ranks from..to fill bins start, start + 1, ...
 with `per_bin` pieces each from place `base`. Then each piece is ranked within its length and joins the plan row of its rank.
 
-Scale: only counts reach the driver. Ranks within a hot length are counted in buckets of the pieces' hash, not in one task. The plan's size depends
-on the capacity only, so it may be broadcast.
+Scale: only counts reach the driver. Ranks within a hot length are counted in buckets that pieces are dealt to by their place in the table, whatever
+their ids, not in one task. The plan's size depends on the capacity only, so it may be broadcast.
 
-A null text is empty, and an empty text is the one id that ends a document. A null doc_id is kept as null. Repeated rows are pieces of their own.
+A null text is empty, and an empty text is the one id that ends a document. Strings of the vocabulary's added tokens in a text become their ids, as the
+tokenizer has it. Longer texts are cut, never dropped. A null doc_id is kept as null. Repeated rows and ids are pieces of their own. Ties: pieces of one
+length are alike; which takes which slot is open. An empty table gives an empty one. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import buckets_for, materialise, rank_within, small_batches
+from strandsift.llm.common import buckets_for, materialise, rank_within, small_batches, unused
 from strandsift.plans.planner import spread
 
 CAPACITY = 4096
@@ -53,7 +55,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         # For units, which are normal and cut already.
         self.units_only = Tokenizer.from_file(path)
         self.units_only.encode_special_tokens = True
@@ -100,8 +102,19 @@ class WordTokenizer:
             known.update({x: np.array(y.ids, "<u4").tobytes() for x, y in zip(others, found, strict=True)})
 
     def many(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text; a null has none. What is new in all of them is encoded at once."""
-        known, lists = self.known, pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        """Ids of each text; a null has none. What is new in all of them is encoded at once. Texts that hold a string of an added token are encoded whole."""
+        texts = pc.fill_null(texts, "")
+        whole = functools.reduce(pc.or_, (pc.match_substring(texts, x) for x in self.added), pa.array([False] * len(texts), pa.bool_()))
+        if not whole.true_count:
+            return self._many(texts)
+        found = self._many(pc.if_else(whole, "", texts))
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for i, own in zip(at, self.tokenizer.encode_batch_fast(texts.take(at).to_pylist(), add_special_tokens=False), strict=True):
+            found[i] = np.array(own.ids, "<u4").tobytes()
+        return found
+
+    def _many(self, texts: pa.Array) -> list[bytes]:
+        known, lists = self.known, pc.ascii_split_whitespace(texts)
         chunks = lists.flatten().dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
         self._learn([x for x in distinct if x not in known])
@@ -217,9 +230,11 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan, _ = best_fit_plan(counts, capacity)
     buckets = buckets_for(sum(counts.values()))
-    ranked = rank_within(pieces, ["length"], F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)), [F.col(id_col), F.col("piece")], "__rank")
+    salt, nth = unused(pieces.columns, "__salt", "__rank")
+    salted = pieces.withColumn(salt, F.monotonically_increasing_id())  # the same at each reading, as pieces are a written table
+    ranked = rank_within(salted, ["length"], F.pmod(F.xxhash64(salt), F.lit(buckets)), [F.col(salt)], nth).drop(salt)
     shared = pieces.sparkSession.sparkContext.broadcast(plan)
-    fields = [f for f in ranked.schema.fields if f.name != "__rank"]
+    fields = [f for f in ranked.schema.fields if f.name != nth]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
@@ -227,7 +242,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
         keys = [int(a) * shift + int(b) for a, b in rows[:, :2].tolist()]
         at = np.array(keys, np.int64) if not keys or keys[-1] < 2**62 else np.array(keys, object)
         for batch in batches:
-            length, rank = (batch.column(x).to_numpy(zero_copy_only=False).astype(at.dtype) for x in ("length", "__rank"))
+            length, rank = (batch.column(x).to_numpy(zero_copy_only=False).astype(at.dtype) for x in ("length", nth))
             row = rows[np.searchsorted(at, length * shift + np.minimum(rank, shift - 1), side="right") - 1]
             nth = rank.astype(np.int64) - row[:, 1]
             columns = [batch.column(f.name) for f in fields]

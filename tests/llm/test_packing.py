@@ -14,12 +14,10 @@ from strandsift.llm.packing import best_fit_plan, pack_documents, token_pieces,
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(vocabulary_path())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(vocabulary_path())
 
 
-ODD = ["", "  ", "It's ''s don't ²½ 3a1", "Ünïcödé ÀÉ naïve ªº", "Σας ΟΔΟΣ", "日本語 123abc 😀", "a\x85b\xa0c\x1cd", "İI ŉ ǅ", "é Å", "<|endoftext|> x", "a" * 5000, "x​y﻿z", "tab\tnew\r\nline"]
+ODD = ["", "  ", "It's ''s don't ²½ 3a1", "Ünïcödé ÀÉ naïve ªº", "Σας ΟΔΟΣ", "日本語 123abc 😀", "a\x85b\xa0c\x1cd", "İI ŉ ǅ", "é Å", "<|endoftext|> x", "One<|startoftext|>two\n<|endoftext|><|endoftext|> end<|END|> of é", "a" * 5000, "x​y﻿z", "tab\tnew\r\nline"]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -134,3 +132,11 @@ def test_hot_length(spark, tokenizer, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(docs).count() == 0
+
+
+def test_rows_without_ids(spark, tokenizer, monkeypatch):
+    """Many equal rows without an id are dealt over the buckets."""
+    monkeypatch.setattr(packing, "buckets_for", lambda rows: 8)
+    rows = [(None, "the same words")] * 400 + [(7, "the same words")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(pack_documents(df, capacity=50), rows, 50, tokenizer)
