@@ -6,12 +6,14 @@ the Hamming ball of radius 1 around both halves (33 keys each) and is put in the
 between them. The members of a key are compared completely.
 
 Scale: exact copies collapse into one fingerprint before anything else, so a group of copies is one row. The table has 66 rows for each distinct
-fingerprint, in proportion to the input. A key's members are compared in place and give a spanning forest, not all pairs, once they are many.
-Keys that would hold over `hot` members are split further by values near the other half (see `_hot_edges`), where each group links to its least
-member without comparing pairs.
-
-Null texts count as empty; empty texts have fingerprint 0 and link like any other. A null doc_id takes part, but a component's id is the smallest
-one that is not null (null if there is none). Repeated rows each give a row.
+fingerprint, in proportion to the input, made and compared by as many tasks as there are fingerprints for. A key's members are compared in place and
+give a spanning forest, not all pairs, once they are many. Keys that would hold over `hot` members are split further by values near the other half
+(see `_hot_edges`), where each group links to its least member without comparing pairs. Texts are read once for fingerprints; keep_one() reads them
+once more, and shuffles none.
+
+Null texts count as empty; empty texts have fingerprint 0 and link like any other; texts of any length are read whole. A null doc_id takes part, but
+a component's id is the smallest one that is not null (null if there is none). Repeated rows, also of one id, each give a row. Ties, when one row of a
+component is kept, go by fingerprint, text and place in the file. Empty tables give empty ones. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import ASCII_LOWER, BROADCAST_ROWS, binary_list, lookup, materialise, small_batches, with_column
+from strandsift.llm.common import ASCII_LOWER, binary_list, join_hot, keyed, materialise, small_batches, take_rows, with_column
 from strandsift.plans.planner import spread
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A run of more members than this is walked as a graph instead of pair by pair.
 PAIRWISE = 48
 #: Members of a key from which it is split by the other half.
-HOT = 200_000
+HOT = 20_000
+#: Fingerprints whose keys one task makes, and rows of keys that one task compares.
+FANNED, COMPARED = 50_000, 4_000_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -180,15 +184,19 @@ def _hot_edges(rows: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints (column fp) that connect all which are connected."""
-    keyed, keys = _keyed(fps), _hot_keys(fps, hot)
+    least, n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count()
+    keyed, keys = _keyed(fps.repartition(max(least, -(-n // FANNED)))), _hot_keys(fps, hot)
     rest = keyed if keys is None else keyed.join(keys, "key", "left_anti")
-    spread = rest.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "fp")
+    spread = rest.repartition(max(least, -(-66 * n // COMPARED)), "key").sortWithinPartitions("key", "fp")
     found = spread.mapInArrow(_link, "u long, v long")
     return found if keys is None else found.unionByName(_hot_edges(keyed.join(keys, "key")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): the least node that can be reached. Alternating large-star and small-star steps."""
+    """(node, root) for every node of the edges (u, v): the least node that can be reached. Alternating large-star and small-star steps.
+
+    A node with many edges (the least node of a large component has all of its others) is no hot join key: join_hot() broadcasts its row.
+    """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = None
     while True:
@@ -197,11 +205,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(now)
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both.where("b > a"), least, ["a"], "n", 2 * now[0]).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, ["u"], "n", 2 * now[0])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.distinct(), "cc")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -209,20 +217,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, fp long, component_id, root long: the component's least fingerprint) for every row of docs."""
-    spark = docs.sparkSession
-    prints = materialise(with_fingerprints(docs.select(id_col, text_col), text_col).select(F.col(id_col).alias("id"), "fp"), "simhash-docs")
+    prints = materialise(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"), "simhash-docs")
     classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    linked = components(links(classes.select("fp"), hot)).withColumnRenamed("node", "fp")
-    named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(smallest, "root").select("fp", "root", "component_id", "n"), "simhash-named")
-    # The few fingerprints with more rows than this go to their rows by broadcast; there are at most BROADCAST_ROWS of them.
-    many = max(1_000, prints.count() // BROADCAST_ROWS)
-    heavy = named.where(F.col("n") > many).drop("n")
-    first = prints.join(F.broadcast(heavy), "fp", "left")
-    rest = first.where(F.col("root").isNull()).select("fp", "id").join(named.where(F.col("n") <= many).drop("n"), "fp")
-    done = first.where(F.col("root").isNotNull()).unionByName(rest)
-    return done.select(F.col("id").alias(id_col), "fp", "component_id", "root")
+    named = classes.join(components(links(classes.select("fp"), hot)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = materialise(named, "simhash-rooted")
+    smallest = materialise(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "simhash-smallest")
+    named = materialise(join_hot(named.select("fp", "root", "n"), smallest, ["root"], "members", classes.count()), "simhash-named")
+    return join_hot(prints, named, ["fp"], "n", prints.count()).select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
 def hex_digits(fp: str = "fp") -> F.Column:
@@ -234,23 +235,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the row with its smallest id."""
-    found = near_duplicates(docs, id_col, text_col)
-    chosen = F.col(id_col).eqNullSafe(F.col("component_id"))
-    keys = materialise(found.groupBy(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).agg(F.max(chosen).alias("__chosen"), F.first("root").alias("__root"), F.count(F.lit(1)).alias("__n")), "simhash-keys")
-    # Several rows of a component have its id if rows or ids repeat; then its least fingerprint stands for it.
-    keep = keys.where("__chosen").groupBy("__root").agg(F.min("__fp").alias("__keep"), F.count(F.lit(1)).alias("__k"))
-    tied = materialise(keep.where("__k > 1"), "simhash-tied")
-    rest = keys
-    if n := tied.count():
-        rest = keys.join(lookup(tied, n), "__root", "left").withColumn("__chosen", F.col("__chosen") & F.coalesce(F.col("__fp") == F.col("__keep"), F.lit(True)))
-    rest = materialise(rest.select("__id", "__fp", "__chosen", "__n"), "simhash-keep")
-    out = with_fingerprints(docs, text_col, "__own")
-    out = out.join(rest.where("not __chosen"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_anti")
-    repeated = rest.where("__chosen and __n > 1").select("__id", "__fp")
-    if not repeated.isEmpty():
-        same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
-        once = out.join(repeated, same, "left_semi").dropDuplicates([id_col, "__own"])
-        out = out.join(repeated, same, "left_anti").unionByName(once)
-    return out.drop("__own")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """docs without all but one row of each component: that of the smallest id (null last), then the least fingerprint, then the least hash of its text, then the first in its file.
+
+    Each distinct fingerprint, then each component, names its one row; only these names meet the texts, which stay where they are.
+    """
+    rows, file, row = keyed(docs)
+    prints = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    prints = with_fingerprints(prints).select("fp", F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "file", "row").alias("first"))
+    classes = materialise(prints.groupBy("fp").agg(F.min("first").alias("first")), "simhash-firsts")
+    linked = components(links(classes.select("fp"), hot)).withColumnRenamed("node", "fp")
+    chosen = classes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return take_rows(rows, file, row, chosen.select(F.col("first.file").alias("__file"), F.col("first.row").alias("__row"), F.lit(1).alias("__times")), 0)

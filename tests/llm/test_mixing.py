@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandsift.llm import mixing
 
@@ -101,3 +102,64 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
     assert mixing.take_copies(df).count() == 0
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_that_repeat_an_id(spark, monkeypatch, key):
+    """Each row counts once, whatever its id: 600 rows of one source with one id, or none, take what the target says; so do rows that are equal."""
+    rows = [(key, "w " * 10 + str(i), "a") for i in range(600)] + [(1000 + i, "w " * 10, "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goal = mixing.targets({"a": 6600, "b": 600})
+    for crowd in (mixing.CROWD, 50):
+        monkeypatch.setattr(mixing, "CROWD", crowd)
+        for own in (df, df.withColumn("text", F.lit("w " * 11))):
+            found = mixing.mix(own).collect()
+            taken = Counter()
+            for r in found:
+                taken[r.source] += r.size * r.copies
+            sizes = Counter()
+            for r in found:
+                sizes[r.source] += r.size
+            goal = mixing.targets(dict(sizes))
+            assert taken["a"] == pytest.approx(goal["a"], abs=11)
+            assert taken["b"] == pytest.approx(goal["b"], abs=11)
+    copies = Counter()
+    for r in mixing.mix(df).collect():
+        copies[r.source] += r.copies
+    assert {r.source: r["count"] for r in mixing.take_copies(df).groupBy("source").count().collect()} == dict(copies)
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "source", "__file", "__row", "__size", "__copies", "__Times", "__at", "rate", "__own"]
+    df = spark.createDataFrame([(i, "w " * (i % 9), "ab"[i % 2], *[i] * 8) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"{x} int" for x in names[3:]))
+    out = mixing.take_copies(df)
+    assert out.columns == names
+    copies = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    assert Counter(r.doc_id for r in out.collect()) == +Counter(copies)
+    assert all(r["__own"] == r.doc_id for r in out.collect())
+
+
+def test_target_table_is_targets(spark):
+    """Against the plain form, with caps that make others reach theirs."""
+    for sizes in ({"a": 100, "b": 100, None: 100}, {"a": 10, "b": 1000, "c": 1000}, {"é": 7, "z": 90, "Z": 3, "": 5000, "zz": 0, None: 12}, {f"s{i}": (i * 7919) % 1000 for i in range(200)}, {"a": 0}):
+        df = spark.createDataFrame([("n" if s is None else "s" + s, n) for s, n in sizes.items()], "__source string, words long")
+        found = {r["__source"]: r.target for r in mixing.target_table(df).collect()}
+        goal = mixing.targets(sizes)
+        assert found == {("n" if s is None else "s" + s): pytest.approx(t) for s, t in goal.items()}
+
+
+def test_tilts_against_bisection(spark):
+    """The dual's solution of each source, found by plain bisection."""
+    import math
+
+    rows = documents(5, 300)
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in found}:
+        own = [r for r in found if r.source == s]
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            total = sum(r.size * min(3.0, math.exp(min(5.0, mid * r.size))) for r in own)
+            low, high = (mid, high) if total < own[0].target else (low, mid)
+        for r in own:
+            assert r.rate == pytest.approx(min(3.0, math.exp(min(5.0, low * r.size))), rel=1e-4)

@@ -142,3 +142,30 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.keep_one(df).count() == 0
+
+
+def test_the_kept_row_is_defined(spark, tmp_path):
+    """Of rows with one id and fingerprint but other texts, the one whose text has the least hash stays; of equal rows one; columns may have any names; texts stay in place."""
+    rows = [(1, TEXT, 0), (1, TEXT.upper(), 1), (2, TEXT, 2), (5, "alone it stands here", 3), (5, "alone it stands here", 4)]
+    df = spark.createDataFrame([(*r, r[2], r[2]) for r in rows], "doc_id long, text string, __own int, __file int, __ROW int")
+    found = simhash.keep_one(df).collect()
+    from pyspark.sql import functions as F
+
+    least = min(spark.createDataFrame([(TEXT,), (TEXT.upper(),)], "t string").select("t", F.xxhash64("t").alias("h")).collect(), key=lambda r: r.h).t
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, least), (5, "alone it stands here")]
+    path = str(tmp_path / "docs")
+    df.repartition(3).write.parquet(path)
+    stored = simhash.keep_one(spark.read.parquet(path))
+    assert stored.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in stored.collect()) == [(1, least), (5, "alone it stands here")]
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [1, 5])
+def test_hot_joins(spark, monkeypatch, documents, limit):
+    """Components and copies by broadcast of the hot keys and a shuffle of the others: the same."""
+    from strandsift.llm import common
+
+    expected = Counter(map(tuple, simhash.near_duplicates(documents[1]).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    assert Counter(map(tuple, simhash.near_duplicates(documents[1]).collect())) == expected
