@@ -244,9 +244,9 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
         for batch in batches:
             length, rank = (batch.column(x).to_numpy(zero_copy_only=False).astype(at.dtype) for x in ("length", nth))
             row = rows[np.searchsorted(at, length * shift + np.minimum(rank, shift - 1), side="right") - 1]
-            nth = rank.astype(np.int64) - row[:, 1]
+            behind = rank.astype(np.int64) - row[:, 1]
             columns = [batch.column(f.name) for f in fields]
-            columns += [pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * row[:, 0])]
+            columns += [pa.array(row[:, 2] + behind // row[:, 3]), pa.array(row[:, 4] + behind % row[:, 3] * row[:, 0])]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
