@@ -14,12 +14,28 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Symbols in rank order; complements, symbol by symbol; the symbol for characters that are none."""
+    """Symbols in rank order; complements, symbol by symbol; the symbol for characters that are none; characters that count as symbols, and as which.
+
+    Others than those here can be made: symbols are printable ASCII characters in alphabetical order, without lower case.
+    """
 
     name: str
     symbols: str
     complements: str
     unknown: str
+    others: str = ""
+    count_as: str = ""
+
+    def __post_init__(self) -> None:
+        if list(self.symbols) != sorted(set(self.symbols)) or self.symbols != self.symbols.upper() or not (self.symbols.isascii() and self.symbols.isprintable()):
+            raise ValueError("symbols are printable ASCII characters in alphabetical order, without lower case")
+        if len(self.complements) != len(self.symbols) or len(self.others) != len(self.count_as) or not {*self.complements, *self.count_as, self.unknown} <= {*self.symbols}:
+            raise ValueError("complements, the unknown symbol and what others count as are symbols, one for each")
+
+    @property
+    def pattern(self) -> str:
+        """The symbols inside a bracket expression."""
+        return "".join("\\" + x if x in "\\]^-[&~" else x for x in self.symbols)
 
     @property
     def size(self) -> int:
@@ -30,21 +46,20 @@ class Alphabet:
         return (self.size - 1).bit_length()
 
 
-# Fixed values of the public nucleotide alphabets.
-DNA4 = Alphabet("dna4", "ACGT", "TGCA", "A")
-DNA5 = Alphabet("dna5", "ACGNT", "TGCNA", "N")
-DNA15 = Alphabet("dna15", "ABCDGHKMNRSTVWY", "TVGHCDMKNYSABWR", "N")
-ALPHABETS = {x.name: x for x in (DNA4, DNA5, DNA15)}
 # What each ambiguous symbol becomes in dna4, its first option.
 AMBIGUOUS, FIRST_OPTION = "RWMDHVYSBK", "AAAAAACCCG"
+# Fixed values of the public nucleotide alphabets.
+DNA4 = Alphabet("dna4", "ACGT", "TGCA", "A", "U" + AMBIGUOUS, "T" + FIRST_OPTION)
+DNA5 = Alphabet("dna5", "ACGNT", "TGCNA", "N", "U", "T")
+DNA15 = Alphabet("dna15", "ABCDGHKMNRSTVWY", "TVGHCDMKNYSABWR", "N", "U", "T")
+ALPHABETS = {x.name: x for x in (DNA4, DNA5, DNA15)}
 
 
 def coerce(column: Column | str, to: Alphabet) -> Column:
-    """Any text as symbols: never fails, keeps the length. Lower case counts as upper, U as T, anything else as the alphabet's unknown symbol."""
+    """Any text as symbols: never fails, keeps the length. Lower case counts as upper, others as the alphabet has them (U as T), anything else as its unknown symbol."""
     text = F.col(column) if isinstance(column, str) else column
-    plain = F.upper(F.regexp_replace(text, "[^ -~]", "?"))  # else upper() may change the length
-    odd = ("U" + AMBIGUOUS, "T" + FIRST_OPTION) if to is DNA4 else ("U", "T")
-    return F.regexp_replace(F.translate(plain, *odd), f"[^{to.symbols}]", to.unknown)
+    plain = F.upper(F.regexp_replace(text, "[^ -~]", "\x7f"))  # else upper() may change the length
+    return F.regexp_replace(F.translate(plain, to.others, to.count_as) if to.others else plain, f"[^{to.pattern}]", to.unknown.replace("\\", "\\\\").replace("$", "\\$"))
 
 
 def to_dna4(column: Column | str) -> Column:
@@ -75,8 +90,8 @@ def rank(symbol: Column, of: Alphabet) -> Column:
 
 def ranks(sequence: Column, of: Alphabet) -> Column:
     """All symbols' ranks, as an array."""
-    digits = "".join(chr(ord("0") + i) for i in range(of.size))
-    return F.transform(F.filter(F.split(F.translate(sequence, of.symbols, digits), ""), lambda x: x != ""), lambda x: F.ascii(x) - ord("0"))
+    digits = "".join(chr(0x100 + i) for i in range(of.size))
+    return F.transform(F.filter(F.split(F.translate(sequence, of.symbols, digits), ""), lambda x: x != ""), lambda x: F.ascii(x) - 0x100)
 
 
 def from_rank(value: Column, of: Alphabet) -> Column:
@@ -97,8 +112,8 @@ def reverse_complement(sequence: Column, of: Alphabet) -> Column:
 
 
 def is_valid(text: Column, of: Alphabet) -> Column:
-    """Whether every character is one of the alphabet's without coercion, in either case; U counts as T."""
-    return text.rlike(f"^(?i)[{of.symbols}U]*\\z")
+    """Whether every character is one of the alphabet's without coercion, in either case; U counts as T where T is a symbol."""
+    return text.rlike(f"^(?i)[{of.pattern}{'U' if 'T' in of.symbols else ''}]*\\z")
 
 
 def letters_only(text: Column, of: Alphabet = DNA4) -> Column:

@@ -1,28 +1,51 @@
 """Matchers: a needle (or a set of them) that finds its places in a table of sequences.
 
 find() is lazy and gives one row a hit; null and empty sequences have none, nor has an empty needle. Positions are characters from 0; a begin is
-inclusive, an end exclusive. Restorable matchers also go through chunks of a sequence one after the other: resume() in batch (the state is carried
-from chunk to chunk), search() on the driver with capture() and restore(), and strandsift.streaming on a stream.
+inclusive, an end exclusive. search() goes through one sequence here and now, and calls back at each hit, where position() says which it is.
+Restorable matchers also go through chunks of a sequence one after the other: search() with capture() and restore(), resume() in batch, and
+strandsift.streaming on a stream.
 deal: over how many tasks the pieces of long sequences are dealt; 0: rows stay where they are.
 """
 
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.operators import kernels
+from strandsift.operators.needles import NeedleTable, automaton, places, read_part, seed_column
 from strandsift.plans import planner
 
 BEGIN, END, DISTANCE = ("begin_pos", T.LongType()), ("end_pos", T.LongType()), ("distance", T.IntegerType())
 
 
+class Searching:
+    """search() and position() for matchers whose hits() of a text are columns, places first."""
+
+    _at: tuple = ()
+
+    def search(self, text: str, on_hit: Callable[[int], None] | None = None) -> list[int]:
+        """Places of all hits in a text; on_hit is called with each one, in order."""
+        found = []
+        for self._at in zip(*self.hits(text), strict=True):
+            found.append(self._at[0])
+            if on_hit is not None:
+                on_hit(self._at[0])
+        return found
+
+    def position(self) -> tuple:
+        """The last hit's columns: its place, then what else the matcher tells."""
+        return self._at
+
+
 @dataclass
-class Horspool:
+class Horspool(Searching):
     """Exact: begins of all occurrences, overlapping ones too. Only sequences that hold the needle leave the JVM."""
 
     needle: str
@@ -30,6 +53,14 @@ class Horspool:
     def window_size(self) -> int:
         return len(self.needle)
 
+    @staticmethod
+    def window_column(needle: Column) -> Column:
+        """Window sizes of a column of needles."""
+        return F.length(needle).cast("long")
+
+    def hits(self, text: str) -> tuple[list[int], ...]:
+        return (kernels.exact_begins(text, self.needle),)
+
     def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
         held = haystacks.where(F.contains(F.col(seq_col), F.lit(self.needle)) if self.needle else F.lit(False))
         needle = self.needle
@@ -61,13 +92,18 @@ class RestorableShiftOr(ShiftOr):
 
     fields = (END,)
 
-    def search(self, text: str) -> list[int]:
+    def hits(self, text: str) -> tuple[list[int], ...]:
         """Ends in one chunk, counted from its beginning; the matcher's state moves on."""
         *found, self.state = self.step(text, self.state)
-        return found[0]
+        return tuple(found)
 
-    def resume(self, chunks: DataFrame, id_col: str = "haystack_id", order_col: str = "chunk_idx", seq_col: str = "seq") -> DataFrame:
-        return planner.fold(chunks, id_col, order_col, seq_col, self.start, self.step, list(self.fields))
+    def behind(self, context: str, offset: int) -> kernels.PrefixState:
+        """A state that finds what a state behind offset symbols finds, of which context is the last window_size() - 1."""
+        return self.step(context, self.start())[-1]
+
+    def resume(self, chunks: DataFrame, id_col: str = "haystack_id", order_col: str = "chunk_idx", seq_col: str = "seq", first: int = 0) -> DataFrame:
+        """Hits in sequences that come in chunks. Which chunks count, and in what order: see planner.resume()."""
+        return planner.resume(chunks, id_col, order_col, seq_col, self, list(self.fields), first)
 
 
 def _checked(k: int) -> int:
@@ -77,7 +113,7 @@ def _checked(k: int) -> int:
 
 
 @dataclass
-class Myers:
+class Myers(Searching):
     """Approximate: every end at which the needle ends within k edits, with the least distance."""
 
     needle: str
@@ -89,6 +125,14 @@ class Myers:
     def window_size(self) -> int:
         return len(self.needle) + self.k
 
+    @staticmethod
+    def window_column(needle: Column, k: int) -> Column:
+        """Window sizes of a column of needles."""
+        return (F.length(needle) + k).cast("long")
+
+    def hits(self, text: str) -> tuple[list[int], ...]:
+        return self._search(text) if self.needle else ([], [])
+
     def _search(self, text: str) -> tuple[list[int], list[int]]:
         if len(self.needle) // (self.k + 1) >= 3:  # pieces that long are rare enough to look for first
             from strandsift.operators.approximate import approximate_hits
@@ -124,10 +168,12 @@ class RestorableMyers(Myers):
     def step(self, text: str, state: kernels.EditState) -> tuple[list[int], list[int], kernels.EditState]:
         return kernels.edit_ends(text, self.needle, self.k, state, self.anchored)
 
-    def search(self, text: str) -> list[int]:
-        *found, self.state = self.step(text, self.state)
-        return found[0]
+    def behind(self, context: str, offset: int) -> kernels.EditState:
+        """A state that finds what a state behind offset symbols finds, of which context is the last window_size() - 1."""
+        state = self.start() if self.anchored and offset >= self.window_size() else self.step(context, self.start())[-1]
+        return replace(state, seen=offset)
 
+    hits = RestorableShiftOr.hits
     resume = RestorableShiftOr.resume
 
 
@@ -153,90 +199,115 @@ def seed_length(needles: list[str], error_rate: float) -> int:
 
 
 @dataclass
-class Pigeonhole:
+class Pigeonhole(Searching):
     """Seeds: every place where a piece of a needle occurs, with which needle (index), which piece (offset) and its length (count). Hits aren't verified.
 
-    mask_runs: seeds inside a run of at least so many equal symbols are left out. A set of over LOCAL pieces isn't sent to the tasks; seeds and
+    needles: one, a list (index: the place in it), or a table with columns needle_id (index: its value) and needle, of any size.
+    mask_runs: seeds inside a run of at least so many equal symbols are left out. A list of over LOCAL pieces isn't sent to the tasks; seeds and
     pieces are joined instead.
     """
 
-    needles: str | list[str]
+    needles: str | list[str] | DataFrame
     error_rate: float = 0.0
     mask_runs: int | None = None
     LOCAL = 1_000_000
 
     def __post_init__(self) -> None:
-        self.needles = [self.needles] if isinstance(self.needles, str) else list(self.needles)
         if not 0 <= self.error_rate < 1:
             raise ValueError("the error rate is at least 0 and under 1")
-        self.q = seed_length(self.needles, self.error_rate)
+        self.table = NeedleTable(self.needles, error_rate=self.error_rate) if isinstance(self.needles, DataFrame) else None
+        if self.table is None:
+            self.needles = [self.needles] if isinstance(self.needles, str) else list(self.needles)
+        self.q = seed_length(self.needles, self.error_rate) if self.table is None else self.table.q
+        self.finder: Seeds | None = None
 
     def window_size(self) -> int:
         return self.q
 
+    @staticmethod
+    def window_column(needle: Column, error_rate: float = 0.0) -> Column:
+        """Window sizes of a column of needles, each a set of its own."""
+        seed = seed_column(needle, error_rate)
+        return F.when(seed >= 3, seed).otherwise(0).cast("long")
+
+    def _numbered(self) -> list[tuple[int, str]]:
+        return list(enumerate(self.needles))
+
     def pieces(self) -> list[tuple[str, int, int]]:
-        """(piece, index, offset) of every needle, in order."""
-        q = self.q
-        return [(x[at : at + q], i, at) for i, x in enumerate(self.needles) if q and len(x) // (int(self.error_rate * len(x)) + 1) >= 3 for at in range(0, len(x) - q + 1, q)]
+        """(piece, index, offset) of every needle of a list, in order."""
+        return pieces(self._numbered(), self.q, self.error_rate)
 
     def _masked(self, text: str) -> list[tuple[int, int]]:
-        """Runs of at least mask_runs equal symbols."""
-        out, at = [], 0
-        while self.mask_runs and at < len(text):
-            end = at + 1
-            while end < len(text) and text[end] == text[at]:
-                end += 1
-            if end - at >= self.mask_runs:
-                out.append((at, end))
-            at = end
-        return out
+        return masked(text, self.mask_runs)
+
+    def hits(self, text: str) -> tuple[list[int], ...]:
+        if self.finder is None:
+            needles = self._numbered() if self.table is None else [x for path in self.table.paths for x in read_part(path)]
+            self.finder = Seeds(needles, self.q, self.error_rate, self.mask_runs)
+        return self.finder(text)
 
     def find(self, haystacks: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq", deal: int = 0) -> DataFrame:
-        pieces, q = self.pieces(), self.q
+        from strandsift.operators.approximate import Late, _in_part
+
+        q, rate, runs = self.q, self.error_rate, self.mask_runs
         fields = [BEGIN, *((x, T.LongType()) for x in ("index", "offset", "count"))]
-        size = 1 << 62 if self.mask_runs else planner.CHUNK  # a run may be longer than any context: then sequences stay whole
-        if len(pieces) > self.LOCAL:
-            grams = planner.scan(haystacks, id_col, seq_col, self, functools.partial(_all_grams, q=q, masked=self._masked), [BEGIN, ("gram", T.StringType())], q, size=size, deal=deal)
-            table = haystacks.sparkSession.createDataFrame(pieces, "gram string, index long, offset long")
-            return grams.join(table, "gram").select(id_col, "begin_pos", "index", "offset", F.lit(q).cast("long").alias("count"))
-        postings: dict[str, list[tuple[int, int]]] = {}
-        for piece, index, offset in pieces:
-            postings.setdefault(piece, []).append((index, offset))
-        return planner.scan(haystacks.where(F.lit(bool(pieces))), id_col, seq_col, self, functools.partial(_seed_hits, postings=postings, q=q, masked=self._masked), fields, q, size=size, deal=deal)
+        size = 1 << 62 if runs else planner.CHUNK  # a run may be longer than any context: then sequences stay whole
 
+        def scan(search: Callable[[str], tuple], fields: list) -> DataFrame:
+            return planner.scan(haystacks.where(F.lit(q > 0)), id_col, seq_col, None, search, fields, q, size=size, deal=deal)
 
-def _inside(at: int, q: int, runs: list[tuple[int, int]]) -> bool:
-    return any(a < at + q and at < b for a, b in runs)
-
+        if self.table is not None:
+            return self.table.each(lambda path: scan(functools.partial(_in_part, Seeds, path, q, rate, runs), fields))
+        own = self.pieces()
+        if len(own) > self.LOCAL:
+            grams = scan(functools.partial(_all_grams, q=q, runs=runs), [BEGIN, ("gram", T.StringType())])
+            table = haystacks.sparkSession.createDataFrame(own, "gram string, index long, offset long")
+            return grams.join(table, "gram").select(id_col, "begin_pos", "index", "offset", F.lit(q).cast("long").alias("count"))
+        return scan(Late(functools.partial(Seeds, self._numbered(), q, rate, runs)), fields)
 
-def _all_grams(text: str, q: int, masked) -> tuple[list, ...]:
-    runs = masked(text)
-    places = [i for i in range(len(text) - q + 1) if not (runs and _inside(i, q, runs))]
-    return places, [text[i : i + q] for i in places]
 
+def pieces(needles: list[tuple[int, str]], q: int, error_rate: float) -> list[tuple[str, int, int]]:
+    """(piece of q symbols, needle's number, offset), needles that allow under 3 left out."""
+    return [(x[at : at + q], i, at) for i, x in needles if q and len(x) // (int(error_rate * len(x)) + 1) >= 3 for at in range(0, len(x) - q + 1, q)]
 
-@functools.lru_cache(8)
-def _automaton(words: frozenset[str]):
-    import ahocorasick
 
-    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for x in words:
-        found.add_word(x)
-    found.make_automaton()
-    return found
+class Seeds:
+    """Finds the pieces of needles (index, text)."""
 
+    def __init__(self, needles: list[tuple[int, str]], q: int, error_rate: float, mask_runs: int | None) -> None:
+        self.q, self.mask_runs = q, mask_runs
+        self.postings: dict[str, list[tuple[int, int]]] = {}
+        for piece, index, offset in pieces(needles, q, error_rate):
+            self.postings.setdefault(piece, []).append((index, offset))
+        self.finder = automaton(self.postings)
 
-def seed_places(text: str, words: frozenset[str]) -> list[tuple[int, str]]:
-    """(begin, word) of every occurrence of words, in order of begins if they are equally long."""
-    return [(end - n + 1, text[end - n + 1 : end + 1]) for end, n in _automaton(words).iter(text)]
+    def __call__(self, text: str) -> tuple[list[int], ...]:
+        """(begins, indexes, offsets, counts)."""
+        return _seed_hits(text, self.postings, self.q, functools.partial(masked, least=self.mask_runs), self.finder)
 
 
-def _seed_hits(text: str, postings: dict[str, list[tuple[int, int]]], q: int, masked) -> tuple[list, ...]:
-    out: tuple[list, ...] = ([], [], [], [])
-    runs = masked(text)
-    for begin, word in seed_places(text, frozenset(postings)):
+def _seed_hits(text: str, postings: dict[str, list[tuple[int, int]]], q: int, runs_of: Callable[[str], list], finder: object = None) -> tuple[list[int], ...]:
+    """Places of pieces; finder: the automaton of postings, if it is made already."""
+    out: tuple[list[int], ...] = ([], [], [], [])
+    runs = runs_of(text)
+    for begin, word in places(finder or automaton(postings), text):
         if not (runs and _inside(begin, q, runs)):
             for index, offset in postings[word]:
                 for column, value in zip(out, (begin, index, offset, q), strict=True):
                     column.append(value)
     return out
+
+
+def masked(text: str, least: int | None) -> list[tuple[int, int]]:
+    """Runs of at least so many equal symbols."""
+    return [] if not least else [m.span() for m in re.finditer(r"(.)\1*", text, re.DOTALL) if m.end() - m.start() >= least]
+
+
+def _inside(at: int, q: int, runs: list[tuple[int, int]]) -> bool:
+    return any(a < at + q and at < b for a, b in runs)
+
+
+def _all_grams(text: str, q: int, runs: int | None) -> tuple[list, ...]:
+    hidden = masked(text, runs)
+    at = [i for i in range(len(text) - q + 1) if not (hidden and _inside(i, q, hidden))]
+    return at, [text[i : i + q] for i in at]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 from typing import Any, Protocol, runtime_checkable
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @runtime_checkable
@@ -59,7 +63,7 @@ def set_up(matcher: Any) -> None:
 
 
 def tear_down(matcher: Any) -> None:
-    """Called in a task behind its last search."""
+    """Called in a task behind its last search, also if that fails."""
     getattr(matcher, "tear_down", lambda: None)()
 
 
@@ -72,3 +76,36 @@ class HitCount:
 
     def aggregate(self, other: HitCount) -> HitCount:
         return HitCount(self.hits + other.hits, self.symbols + other.symbols)
+
+    @staticmethod
+    def table(haystacks: DataFrame, hits: DataFrame, id_col: str = "haystack_id", seq_col: str = "seq") -> DataFrame:
+        """A table of states (id_col, hits, symbols): one row for each sequence and one for each hit, to be merged."""
+        own = haystacks.select(id_col, F.lit(0).cast("long").alias("hits"), F.coalesce(F.length(seq_col), F.lit(0)).cast("long").alias("symbols"))
+        return own.unionByName(hits.select(id_col, F.lit(1).cast("long").alias("hits"), F.lit(0).cast("long").alias("symbols")))
+
+
+def merge_states(states: DataFrame, keys: list[str], like: type = HitCount) -> DataFrame:
+    """aggregate() over tables of states: those that agree in keys as one. like: a state whose fields, columns here, add up."""
+    names = [f.name for f in dataclass_fields(like)]
+    return states.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in names])
+
+
+def merge_any(states: DataFrame, keys: list[str], like: type) -> DataFrame:
+    """The same for states of any kind, by their own aggregate(). Merged inside tasks, then by key: a hot key's rows are merged before they are shuffled.
+
+    aggregate() must not care for order. A task holds one state for each of its keys.
+    """
+    names = [f.name for f in dataclass_fields(like)]
+
+    def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Any] = {}
+        for part in parts:
+            own = zip(*(part[k].astype(object).where(part[k].notna(), None).tolist() for k in keys), strict=True) if keys else [()] * len(part)
+            for key, values in zip(own, zip(*(part[x].tolist() for x in names), strict=True), strict=True):
+                state = like(*values)
+                held[key] = state if key not in held else held[key].aggregate(state)
+        yield pd.DataFrame([(*k, *(getattr(v, x) for x in names)) for k, v in held.items()], columns=[*keys, *names])
+
+    states = states.select(*keys, *names)
+    once = states.mapInPandas(merged, states.schema)
+    return (once.repartition(*keys) if keys else once.coalesce(1)).mapInPandas(merged, states.schema)

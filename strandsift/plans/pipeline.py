@@ -1,11 +1,13 @@
 """Streams and senders: small lazy wrappers, piped with |, that run when asked to.
 
 A stream here is a DataFrame (bounded or streaming); a sender is work that hasn't begun. A sender completes in one of three ways: with a value,
-done without one, or with an error. Errors are told once.
+done without one, or with an error. Errors are told once. Items() pulls a stream batch by batch: next() is a sender of the next one, or done at the
+end, cleanup() a sender that lets go of what the stream holds; sinks clean up at the end and after errors.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 from typing import Any, Protocol
 
@@ -137,17 +139,72 @@ def transform_stream(function: Callable[[DataFrame], DataFrame] | dict[str, Colu
     return Closure(lambda stream: stream.withColumns(function) if isinstance(function, dict) else stream.transform(function))
 
 
-def for_each_stream(function: Callable[[DataFrame], None], marks: str | None = None) -> Closure:
-    """A sender that gives the stream to function until it ends: a table at once, a stream batch by batch (marks: its checkpoint folder). Its value is empty."""
+class Items:
+    """A bounded stream, pulled from the driver: rows in lists of at most `size`, of which one is held at a time."""
 
-    def drained(stream: DataFrame) -> Sender:
-        def work() -> tuple:
-            if not stream.isStreaming:
+    def __init__(self, stream: DataFrame, size: int = 1000, on_cleanup: Callable[[], None] | None = None) -> None:
+        self.stream, self.size, self.on_cleanup, self.rows, self.clean = stream, size, on_cleanup, None, False
+
+    def next(self) -> Sender:
+        def work() -> tuple | None:
+            if self.clean:
+                return None
+            if self.rows is None:
+                self.rows = self.stream.toLocalIterator()
+            found = list(itertools.islice(self.rows, self.size))
+            return (found,) if found else None
+
+        return Sender(work)
+
+    def cleanup(self) -> Sender:
+        """Its work is done once, whoever asks again."""
+
+        def work() -> None:
+            if not self.clean:
+                self.clean, self.rows = True, None
+                if self.on_cleanup is not None:
+                    self.on_cleanup()
+
+        return Sender(work)
+
+
+def next_of(items: Items) -> Sender:
+    return items.next()
+
+
+def cleanup(items: Items) -> Sender:
+    return items.cleanup()
+
+
+def for_each_stream(function: Callable[[DataFrame], None], marks: str | None = None, on_cleanup: Callable[[], None] | None = None) -> Closure:
+    """A sender that gives the stream to function until it ends: a table at once, a stream batch by batch (marks: its checkpoint folder). Its value is empty.
+
+    Of Items, function gets each list of rows. on_cleanup is called when the stream has ended, also by an error, before the sender completes.
+    """
+
+    def drained(stream: DataFrame | Items) -> Sender:
+        def each() -> None:
+            if isinstance(stream, Items):
+                while (found := stream.next().work()) is not None:
+                    function(*found)
+            elif not stream.isStreaming:
                 function(stream)
-                return ()
-            writer = stream.writeStream.foreachBatch(lambda batch, _: function(batch)).trigger(availableNow=True)
-            query = (writer.option("checkpointLocation", marks) if marks else writer).start()
-            query.awaitTermination()
+            else:
+                writer = stream.writeStream.foreachBatch(lambda batch, _: function(batch)).trigger(availableNow=True)
+                query = (writer.option("checkpointLocation", marks) if marks else writer).start()
+                try:
+                    query.awaitTermination()
+                finally:
+                    query.stop()
+
+        def work() -> tuple:
+            try:
+                each()
+            finally:
+                if isinstance(stream, Items):
+                    stream.cleanup().work()
+                if on_cleanup is not None:
+                    on_cleanup()
             return ()
 
         return Sender(work)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.operators.protocol import set_up, tear_down
@@ -62,6 +63,12 @@ def scan(
 
     def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_up(matcher)
+        try:
+            yield from hits(batches)
+        finally:
+            tear_down(matcher)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if deal:
                 pieces = zip(range(batch.num_rows), *(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)
@@ -78,7 +85,6 @@ def scan(
                         for column, value in zip(out, (at, *hit[1:]), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(out, arrow, strict=True))], names=names)
-        tear_down(matcher)
 
     schema = T.StructType([haystacks.schema[id_col], *(T.StructField(n, t) for n, t in fields)])
     if deal:
@@ -87,38 +93,98 @@ def scan(
     return source.mapInArrow(searching, schema)
 
 
-def fold(
-    chunks: DataFrame,
-    id_col: str,
-    order_col: str,
-    seq_col: str,
-    start: Callable[[], object],
-    search: Callable[[str, object], tuple],
-    fields: list[tuple[str, T.DataType]],
-) -> DataFrame:
-    """id_col and fields for every hit in the chunks of each id, taken in order with the state carried from chunk to chunk.
+#: Chunk numbers that one step of a resumable search covers.
+SPAN = 256
 
-    search(text, state) gives positions, further columns..., state. Chunks are sorted inside tasks and streamed: a task holds one state, not
-    one id's chunks.
+
+def resume(chunks: DataFrame, id_col: str, order_col: str, seq_col: str, matcher: object, fields: list[tuple[str, T.DataType]], first: int = 0, span: int = SPAN) -> DataFrame:
+    """id_col and fields for every hit in the sequences that the chunks of each id make, in order of their numbers.
+
+    A number counts once (of different texts under it, the one with the least hash), numbers may be missing, and chunks without a number or with one
+    under first take no part. A null text is an empty chunk; a null id is one of its own.
+
+    Chunks are searched in blocks of span numbers, all at once: a block begins in the state behind the last window - 1 symbols before it, which finds
+    the same. Lengths and ends of chunks are shuffled for these contexts, the chunks themselves once. A block is sorted inside its task and streamed.
     """
     arrow = [pa.int32() if isinstance(t, T.IntegerType) else pa.int64() for _, t in fields]
+    reach, kind = max(0, matcher.window_size() - 1), chunks.schema[id_col]
     names = [id_col, *(n for n, _ in fields)]
+    key = T.StructField("id", kind.dataType)
+    text = F.coalesce(F.col(seq_col), F.lit(""))
+    rows = chunks.where(F.col(order_col) >= first).select(F.col(id_col).alias("id"), F.floor((F.col(order_col) - first) / span).alias("block"), F.col(order_col).cast("long").alias("number"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    order = ["id", "block", "number", "hash"]
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows (id, block, number, ...), the first of each number."""
+        last: tuple | None = None
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if row[:3] != last:
+                    last = row[:3]
+                    yield row
+
+    def summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, block, symbols, end) of each block."""
+        now, symbols, end, out = None, 0, "", []
+        for own, block, _, _, n, tail in once(batches):
+            if now != (own, block):
+                out += [(*now, symbols, end)] if now else []
+                now, symbols, end = (own, block), 0, ""
+            symbols, end = symbols + n, (end + tail)[-reach:] if reach else ""
+        yield _rows([*out, (*now, symbols, end)] if now else out, kind, batch_names=("id", "block", "symbols", "end"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, block, offset, context): what stands before each block."""
+        now, offset, context = object(), 0, ""
+        for batch in batches:
+            out = []
+            for own, block, symbols, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if own != now:
+                    now, offset, context = own, 0, ""
+                out.append((own, block, offset, context))
+                offset, context = offset + symbols, (context + end)[-reach:] if reach else ""
+            yield _rows(out, kind, batch_names=("id", "block", "offset", "context"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, offset = object(), None, 0
+    def searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks' contexts, whose number is null and which come first, and their chunks."""
+        state, offset, last = None, 0, None
         for batch in batches:
-            rows: list[int] = []
             out: list[list] = [[] for _ in fields]
-            for i, (own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if own != now:
-                    now, state, offset = own, start(), 0
-                *found, state = search(text or "", state)
+            rows: list[int] = []
+            for i, (own, block, number, _, text, at) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+                if number is None:
+                    state, offset, last = matcher.behind(text, at), at, None
+                    continue
+                if number == last:
+                    continue
+                last = number
+                *found, state = matcher.step(text, state)
                 for hit in zip(*found, strict=True):
                     rows.append(i)
                     for column, value in zip(out, (offset + hit[0], *hit[1:]), strict=True):
                         column.append(value)
-                offset += len(text or "")
+                offset += len(text)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(out, arrow, strict=True))], names=names)
 
-    schema = T.StructType([chunks.schema[id_col], *(T.StructField(n, t) for n, t in fields)])
-    return chunks.select(id_col, order_col, seq_col).repartition(id_col).sortWithinPartitions(id_col, order_col).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_up(matcher)
+        try:
+            yield from searching(batches)
+        finally:
+            tear_down(matcher)
+
+    long = T.LongType()
+    blocks = rows.select(*order, F.length("text").cast("long").alias("n"), F.right("text", F.lit(reach)).alias("tail")).repartition("id", "block").sortWithinPartitions(*order)
+    blocks = blocks.mapInArrow(summing, T.StructType([key, T.StructField("block", long), T.StructField("symbols", long), T.StructField("end", T.StringType())]))
+    before = blocks.repartition("id").sortWithinPartitions("id", "block").mapInArrow(contexts, T.StructType([key, T.StructField("block", long), T.StructField("offset", long), T.StructField("context", T.StringType())]))
+    before = before.select("id", "block", F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("hash"), F.col("context").alias("text"), "offset")
+    both = rows.withColumn("offset", F.lit(None).cast("long")).unionByName(before).repartition("id", "block").sortWithinPartitions(*order)
+    return both.mapInArrow(run, T.StructType([kind, *(T.StructField(n, t) for n, t in fields)]))
+
+
+def _rows(rows: list[tuple], kind: T.StructField, batch_names: tuple[str, ...]) -> pa.RecordBatch:
+    """A batch of (id, long, long, string)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (to_arrow_type(kind.dataType), pa.int64(), pa.int64(), pa.string()), strict=True)], names=list(batch_names))

@@ -43,3 +43,18 @@ def test_validity_and_conversion(spark):
     assert one(spark, "ACGNT", lambda x: a.convert(x, a.DNA4)) == "ACGAT"
     assert one(spark, "x", lambda x: a.literal("acgu")) == "ACGT"
     assert one(spark, "a-cG t", lambda x: a.letters_only(x)) == "ACGT"
+
+
+def test_other_alphabets(spark):
+    """Any set of symbols: coercion, ranks and back, validity; and sets that are none are refused."""
+    own = a.Alphabet("own", "-ABZ[]^", "-ABZ[]^", "^", "XY", "AB")
+    df = spark.createDataFrame([("a-b^z[]xyé!",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(a.coerce("t", own)).collect()]
+    assert got == ["A-B^Z[]AB^^", "", None]
+    order = {x: i for i, x in enumerate(own.symbols)}
+    assert df.select(a.ranks(a.coerce("t", own), own)).first()[0] == [order[x] for x in got[0]]
+    assert df.select(a.from_ranks(a.ranks(a.coerce("t", own), own), own)).first()[0] == got[0]
+    assert [r[0] for r in spark.createDataFrame([("AB-",), ("U",), ("ab]",)], "t string").select(a.is_valid(F.col("t"), own)).collect()] == [True, False, True]
+    for bad in (("BA", "BA", "A"), ("AB", "A", "A"), ("AB", "AB", "C"), ("ab", "ab", "a")):
+        with pytest.raises(ValueError):
+            a.Alphabet("bad", *bad)

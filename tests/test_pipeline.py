@@ -56,3 +56,30 @@ def test_streams(spark, tmp_path):
 
     with pytest.raises(RuntimeError, match="sink"):
         p.run(stream | p.for_each_stream(fail))
+
+
+def test_items_are_pulled_and_cleaned_up(spark):
+    """next() gives lists of rows, then is done; cleanup() happens once, also if the sink fails."""
+    told = []
+    items = p.Items(spark.range(25), 10, lambda: told.append("clean"))
+    sizes = []
+    while (found := p.run(p.next_of(items) | p.then(lambda rows: rows))) is not None:
+        sizes.append(len(found))
+    assert sizes == [10, 10, 5]
+    p.run(p.cleanup(items))
+    p.run(p.cleanup(items))
+    assert told == ["clean"]
+    assert p.run(p.next_of(items)) is None
+
+    seen = []
+    p.run(p.Items(spark.range(25), 10, lambda: told.append("second")) | p.for_each_stream(lambda rows: seen.extend(r.id for r in rows)))
+    assert sorted(seen) == list(range(25))
+
+    def fail(rows):
+        raise RuntimeError("sink")
+
+    with pytest.raises(RuntimeError, match="sink"):
+        p.run(p.Items(spark.range(25), 10, lambda: told.append("third")) | p.for_each_stream(fail, on_cleanup=lambda: told.append("sink")))
+    with pytest.raises(RuntimeError, match="sink"):
+        p.run(spark.range(3) | p.for_each_stream(fail, on_cleanup=lambda: told.append("table")))
+    assert told == ["clean", "second", "third", "sink", "table"]

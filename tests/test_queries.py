@@ -35,7 +35,7 @@ def test_sql(spark, name):
 def test_approximate_contamination(spark):
     found = {tuple(r) for r in search.contamination_approximate(spark, SF).select("doc_id", "needle_id", "end_pos", "distance").collect()}
     assert {(d, n) for d, n, _, _ in found} >= {(r.doc_id, r.needle_id) for r in search.contamination(spark, SF).collect()}
-    needles = dict(_needles(spark, SF))
+    needles = {r.needle_id: r.needle for r in _needles(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for doc, needle in sorted({x[:2] for x in found})[:3]:
         expected = {(doc, needle, e, d) for e, d in edit_distance_ends(texts[doc], needles[needle], 8)}
