@@ -7,8 +7,9 @@ both sides of `and`, the most of both sides of `or`. The score is the least valu
 
 Scale: one pass without shuffles, each text on its own, whatever its length.
 
-A null text is empty. An expression that isn't well formed adds nothing from where it breaks; one whose brackets never close adds nothing at all.
-Every row gives a row.
+A null or empty text has no words. An expression that isn't well formed adds nothing from where it breaks; one whose brackets never close adds what
+stands before the outermost of them. Long texts are scanned whole. Ties: of places and labels that are equal, each place counts and a label shows once.
+Every row gives a row, also repeated ones; an empty table gives none. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,17 +79,19 @@ def label_of(identifier: str) -> str:
 def to_postfix(text: str, at: int = 0) -> list[str] | None:
     """Shunting-yard: the expression at a place of text in postfix order, as far as it is well formed; None if there is none.
 
-    It ends with its line, but goes on over line ends while brackets are open.
+    It ends with its line, but goes on over line ends while brackets are open. Of one whose brackets never close, what stands before the outermost counts.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand = True
+    operand, before = True, ([], [])
     while m := (_WRAPPED if "(" in stack else _TOKEN).match(text, at):
         token, word = m[1], m[1].lower()
         if _RAW_TAG.match(text, m.start(1)):
             break
         if operand:
             if token == "(":
+                if "(" not in stack:
+                    before = out[:], stack[:]
                 stack.append(token)
             elif token == ")" or word in _BINDS:
                 break
@@ -110,7 +113,9 @@ def to_postfix(text: str, at: int = 0) -> list[str] | None:
         else:
             break
         at = m.end()
-    if not out or "(" in stack:
+    if "(" in stack:
+        (out, stack), operand = before, True
+    if not out:
         return None
     if operand:  # an operator without its right side, the last that was read
         stack.pop()

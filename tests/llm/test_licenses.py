@@ -80,3 +80,9 @@ def test_brackets_over_lines():
         assert (found["labels"], found["expressions"]) == ("apache-2,mit", ["(mit or apache-2)"])
     assert licenses.scan(b"SPDX-License-Identifier: (MIT OR\nSPDX-License-Identifier: ISC")["expressions"] == ["isc"]
     assert licenses.scan(b"SPDX-License-Identifier: MIT\nAND ISC")["expressions"] == ["mit"]
+
+
+def test_brackets_that_never_close():
+    """What stands before the outermost open bracket counts."""
+    for text, labels in (("MIT OR (GPL-2.0-only AND", "mit"), ("MIT AND ISC OR (GPL-2.0-only AND (ISC", "isc,mit"), ("(MIT OR (ISC)", ""), ("(MIT) AND (ISC", "mit"), ("MIT WITH (", "mit")):
+        assert licenses.scan(f"SPDX-License-Identifier: {text}".encode())["labels"] == labels
