@@ -6,11 +6,13 @@ length), so that one record is read by fetching one frame. A payload of at least
 page with the largest id; the others are revisit records that refer to it.
 
 Scale: a bundle is streamed, with one frame in memory. Payloads are not shuffled: only the digests that repeat are gathered, and joined by broadcast
-if they are few (else by a shuffle, in which Spark splits a hot digest). Reading back is by frame. A task that runs twice writes another bundle;
-only bundles named in the index, which Spark commits, are read. Bundles are written through the file system that pyarrow finds for the folder's URI.
+if they are few (else by a shuffle, in which Spark splits a hot digest). Reading back is by frame, dealt over tasks by the archives' bytes, not by those
+of the small index. A task that runs twice writes another bundle; only bundles named in the index, which Spark commits, are read. Bundles are written
+through the file system that pyarrow finds for the folder's URI.
 
-Null html is an empty payload. A null page_id is kept; such a page refers to the largest id, and never is referred to. Rows that repeat a page are
-records of their own; those with the largest id are all responses.
+Null html is an empty payload; long ones are whole in one frame. A null page_id is kept; such a page refers to the largest id, and never is referred
+to. Ties: rows that repeat a page are records of their own under its identifier, all of which fetch() gives; those with the largest id are all
+responses. An empty table gives no bundle and an empty index. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import fresh_path, lookup, materialise, small_batches
 
 LEAST, FRAME, LEVEL = 1000, 1 << 20, 3
+#: Bytes of records that one task reads back.
+READ = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "bundle string, frame int, offset long, length long, record_id string"
@@ -155,7 +159,7 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type"
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """RECORD for every record of the bundles that an index names, read frame by frame."""
+    """RECORD for every record of the bundles that an index names, read frame by frame, by as many tasks as their bytes ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +172,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     raise ValueError(f"{row['bundle']}, frame {row['frame']}: {len(out)} records; the index has {row['n']}")
                 yield pa.RecordBatch.from_pylist(out, schema=_READ)
 
+    size = index.agg(F.sum("length")).first()[0] or 0
     frames = index.groupBy("bundle", "frame").agg(F.count(F.lit(1)).alias("n"))
-    return frames.mapInArrow(run, RECORD)
+    return frames.repartition(max(1, -(-size // READ)), "bundle", "frame").mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame, records: DataFrame) -> DataFrame:

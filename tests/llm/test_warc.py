@@ -90,3 +90,13 @@ def test_many_repeats_are_joined_by_shuffle(spark, monkeypatch):
 
 def test_empty(spark):
     assert warc.read_bundles(warc.archive(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_reading_back_is_dealt_out_by_bytes(spark, monkeypatch):
+    """A small index of many bytes is read by many tasks."""
+    monkeypatch.setattr(warc, "READ", 50_000)
+    index = warc.write_bundles(warc.to_records(spark.createDataFrame([(*r, "d", 1) for r in pages()], SCHEMA)), warc.fresh_path(spark, "warc-test"), frame_bytes=10_000)
+    size = sum(r.length for r in index.collect())
+    found = warc.read_bundles(index)
+    assert found.rdd.getNumPartitions() == -(-size // 50_000) > 10
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found.collect()) == expected(pages())
