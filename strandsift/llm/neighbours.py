@@ -3,20 +3,21 @@
 A rotation learned from a sample turns vectors into binary codes (iterative quantisation: principal directions, then the rotation whose signs lose
 least). Codes are split into substrings, each with a table from its value to the rows. Codes within Hamming radius r of a query differ from it by
 at most r // m bits in one of the m substrings, so probing each table in a ball of that radius retrieves all of them; complete distances are
-verified, then the original vectors are compared. If the balls would touch more entries than there are rows, the codes are read in order
-instead, which retrieves the same. The radius is learned on the sample as well: the one that holds RECALL of its true neighbours.
+verified, then the original vectors are compared. The radius is learned on the sample as well: the one that holds RECALL of its true neighbours.
 
 Scale: rows are dealt into blocks of at most BLOCK, shuffled once; each block builds its tables and streams all queries past them, giving the k
 nearest of each, with as many more as its own id may take up. Of vectors that are equal, the k + 1 with the smallest ids take part (no other can be among anyone's k nearest), found by a
 limit inside each task before the shuffle; queries that are equal are searched once. Queries with fewer than k neighbours within the radius are
 searched again without a radius. The model is fitted on at most about SAMPLE vectors.
 
-Vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do those of another length than the most common one
-(the longer, if two are as common). An id that repeats is never its own neighbour; rows that repeat both id and vector count once.
+Vectors that are null, zero, empty, or hold null or non-finite components take no part. A distance needs vectors of one length: each length has an
+index and answers of its own, one after the other. An id that repeats is never its own neighbour; rows that repeat both id and vector count once. Ties
+go to the smaller id. Long vectors are compared whole. An empty table gives an empty one. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -83,6 +84,8 @@ class Block:
             order = np.argsort(value, kind="stable")
             self.tables.append((order, np.searchsorted(value[order], np.arange((1 << (b - a)) + 1))))
         self.balls: dict[tuple[int, int], np.ndarray] = {}
+        #: Rows that probing met, over all queries.
+        self.touched = 0
 
     @staticmethod
     def _part(codes: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -97,16 +100,14 @@ class Block:
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """Places of all rows whose code is within radius."""
         near = radius // len(self.parts)
-        touched = sum(len(self._ball(b - a, near)) * max(1, len(self.ids) >> (b - a)) for a, b in self.parts)
-        if touched >= len(self.ids):
-            return np.flatnonzero(np.bitwise_count(self.codes ^ code) <= radius)
-        found = []
+        met = np.zeros(len(self.ids), bool)
         for (a, b), (order, start) in zip(self.parts, self.tables, strict=True):
             keys = self._ball(b - a, near) ^ self._part(np.array([code]), a, b)[0]
             first, n = start[keys], start[keys + 1] - start[keys]
             first, n = first[n > 0], n[n > 0]
-            found.append(order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        places = np.unique(np.concatenate(found))
+            met[order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        places = np.flatnonzero(met)
+        self.touched += len(places)
         return places[np.bitwise_count(self.codes[places] ^ code) <= radius]
 
     def nearest(self, query: np.ndarray, code: np.uint64, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +189,14 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False)))
-    usual = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    if usual is None:
-        return spark.createDataFrame([], EMPTY)
-    rows = rows.where(F.size("vector") == usual["size"])
+    lengths = [r["length"] for r in rows.select(F.size("vector").alias("length")).distinct().collect()]
+    found = [_nearest(rows.where(F.size("vector") == n), k, every, block_rows, sample, radius) for n in sorted(lengths)]
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], EMPTY)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, block_rows: int, sample: int, radius: int | None) -> DataFrame:
+    """nearest() of rows (id, vector) whose vectors are equally long."""
+    spark = rows.sparkSession
     once = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("nth") <= k + 1).select("id", "vector").distinct()
     once = materialise(once, "ann-rows")
     total = once.count()

@@ -102,3 +102,23 @@ def test_few_rows(spark):
     assert nearest(spark.createDataFrame([(0, [0.0], "x"), (100, None, "x")], SCHEMA)).count() == 0
     assert nearest(spark.createDataFrame([(0, [1.0], "x")], SCHEMA)).count() == 0
     assert results(nearest(spark.createDataFrame([(0, [1.0], "x"), (7, [3.0], "x")], SCHEMA))) == {0: [(7, 2.0)]}
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(7)
+    own = {n: [(int(i), rng.normal(size=n).astype(np.float32)) for i in range(at, at + 150)] for n, at in ((3, 0), (8, 1000))}
+    found = results(nearest(spark.createDataFrame([(i, v.tolist(), "r") for rows in own.values() for i, v in rows], SCHEMA), radius=8))
+    assert sorted(found) == [0, 100, 1000, 1100]
+    for rows in own.values():
+        ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+        for q in np.flatnonzero(ids % 100 == 0).tolist():
+            assert [i for i, _ in found[ids[q]]] == [i for i, _ in truth(ids, x, q, 10)]
+
+
+def test_probing_meets_few_rows_of_clustered_vectors():
+    """By tables at every radius; how many rows they meet depends on the vectors."""
+    x = clusters(20_000, 48)
+    block = Block(np.arange(20_000), x, Codes(x[:5000]))
+    for q in range(0, 20_000, 1000):
+        block.within(block.codes[q], block.model.radius)
+    assert block.touched / 20 < 0.3 * 20_000
