@@ -5,11 +5,13 @@ maximisation finds the proportions of languages that best explain all its words,
 sets that take the most probable languages first, the one whose log likelihood less PENALTY * log(words) for each further language is highest. The
 prediction is the language with the largest proportion, the score that proportion.
 
-Scale: training counts are added up inside each task, then summed by (language, trigram bucket): at most languages * BUCKETS rows reach the driver,
-whatever the input. Prediction is one pass without shuffles. Texts of any length are read whole.
+Scale: training counts are added up inside each task, then summed by (language, trigram bucket). The table that the driver gets and broadcasts has
+MOST_CELLS numbers at most, whatever the input: with over MOST_CELLS / BUCKETS languages, buckets are merged until it fits. Prediction is one pass without
+shuffles. Texts of any length are read whole; they are looked at in blocks that end between words.
 
-A null text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned. Only rows with a language train.
-Every row gives a row; a null id counts as the empty string in the choice of held-out rows.
+A null or empty text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned. Only rows with a language train.
+Every row gives a row, also repeated ones; a null id counts as the empty string in the choice of held-out rows. Ties go to the language that comes
+first by code point. An empty table gives an empty one. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ SMOOTHING = 0.5
 PENALTY = 2.0
 STEPS = 25
 FOLDS = 5
-#: Code points that are looked at together.
+#: Code points that are looked at together, and as many more as the word goes on.
 BLOCK = 1 << 20
+#: Numbers in the table of trigrams and languages; languages whose counts a task holds.
+MOST_CELLS, HELD = 1 << 25, 64
 
 
 @functools.cache
@@ -44,8 +48,15 @@ def _letters() -> np.ndarray:
 def trigrams(text: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each block of a text: the bucket of the trigram around each letter, and the places where words begin among them."""
     codes = np.frombuffer((text or b"").decode().lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    for at in range(0, len(codes), BLOCK):
-        own = codes[at : at + BLOCK]
+    end = 0
+    while end < len(codes):
+        at, end = end, min(end + BLOCK, len(codes))
+        while end < len(codes):  # a word stays in one block
+            gap = np.flatnonzero(~_letters()[codes[end : end + BLOCK]])
+            end = end + int(gap[0]) if len(gap) else min(end + BLOCK, len(codes))
+            if len(gap):
+                break
+        own = codes[at:end]
         letter = _letters()[own]
         x = np.zeros(len(own) + 2, np.uint32)
         x[1:-1] = np.where(letter, own, 0)
@@ -67,22 +78,33 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, n in sums.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for text, lang in zip(binary_list(batch, text_col), batch.column(lang_col).to_pylist(), strict=True):
+                if lang not in sums and len(sums) == HELD:
+                    yield from told()
                 for found, _ in trigrams(text):
                     np.add.at(sums.setdefault(lang, np.zeros(BUCKETS, np.int64)), found, 1)
-        for lang, n in sums.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "bucket", "n"])
+        yield from told()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string").alias(lang_col))
     counted = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = materialise(counted, "trigrams").toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
-    table = np.zeros((BUCKETS, len(langs)))
+    counted = materialise(counted, "trigrams")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    buckets = BUCKETS
+    while buckets > 1 and buckets * len(langs) > MOST_CELLS:
+        buckets //= 2
+    got = counted.groupBy("lang", F.floor(F.col("bucket") / (BUCKETS // buckets)).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((buckets, len(langs)), np.float32)
     place = {x: i for i, x in enumerate(langs)}
     table[got["bucket"].to_numpy(), [place[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
-    return langs, np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32)
+    return langs, np.log((table + SMOOTHING) / (table.sum(0, dtype=np.float64) + SMOOTHING * buckets)).astype(np.float32)
 
 
 def _proportions(p: np.ndarray) -> tuple[np.ndarray, float]:
@@ -101,7 +123,8 @@ def _proportions(p: np.ndarray) -> tuple[np.ndarray, float]:
 
 def infer(text: bytes | None, table: np.ndarray) -> np.ndarray | None:
     """Each language's proportion; None without letters."""
-    words = [np.add.reduceat(table[found], first, axis=0) for found, first in trigrams(text)]
+    each = BUCKETS // len(table)
+    words = [np.add.reduceat(table[found // each], first, axis=0) for found, first in trigrams(text)]
     if not words or not table.shape[1]:
         return None
     log = words[0] if len(words) == 1 else np.concatenate(words)
@@ -150,5 +173,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs in whose text one language has at least the given proportion."""
-    found = with_language(docs, train(docs.where(~held_out(id_col)), text_col, lang_col), text_col, "__l_")
-    return found.where((F.col("__l_lang_pred") != "und") & (F.col("__l_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "__l_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = with_language(docs, train(docs.where(~held_out(id_col)), text_col, lang_col), text_col, prefix)
+    return found.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
