@@ -1,17 +1,22 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers each vote good, bad or nothing. Expectation-maximisation (a class of good texts and several of bad ones, votes
-independent given the class; see estimate()) finds how accurate each labeller is and gives every pattern of votes the probability of being good. These posteriors are the labels on which a linear scorer over hashed features is trained: character trigrams of the text as it
-stands, and the text's measures in coarse steps. Every text is then scored.
+independent given the class; see estimate()) finds how accurate each labeller is and gives every pattern of votes the probability of being good. These
+posteriors are the labels on which a linear scorer over hashed features is trained: character trigrams of the text as it stands, and the text's
+measures in coarse steps. Every text is then scored.
 
-Scale: voting and scoring are one pass each, without shuffles. EM runs on counts of vote patterns (3 ** labellers at most). The scorer is fitted on
-about SAMPLE texts, chosen by a hash of id and text; that bound holds at any size. All texts count in the EM, and all are scored.
+Scale: two passes over texts, without shuffles: one that votes and hashes the features of a sample, one that scores. EM runs on counts of vote patterns (3
+** labellers at most, a few hundred in fact); all texts count. The scorer is fitted on about SAMPLE rows, chosen by a hash of id, text and row number,
+so that repeated rows count as rows, and on about ENTRIES features of theirs in all; these bounds hold at any size.
 
-A null or empty text has votes like any other (it is bad by its length) and is scored by its measures. Every row gives a row.
+A null or empty text has votes like any other and is scored by its measures. Texts are read whole, whatever their length. Every row gives a row, also
+repeated ones. Ties: a score of exactly 0.5 is kept. An empty table gives an empty one. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import binary_list, materialise, small_batches
+from strandsift.llm.common import binary_list, keyed, materialise, small_batches
 from strandsift.llm.quality import measure
 from strandsift.plans.planner import spread
 
 BUCKETS, SAMPLE, EPOCHS, RATE, RIDGE, STEPS = 1 << 16, 6_000, 6, 0.5, 1e-6, 200
+ENTRIES = 8_000_000
 BLOCK = 1 << 20
 GOOD, BAD, NONE = 1, 0, 2
-FALSE_ALARM, HIT = 0.01, 0.95
+#: What is thought before the votes are seen: rates of bad votes, with the weight of so many votes, however many texts there are.
+FALSE_ALARM, HIT, PRIOR = 0.01, 0.95, 200
 #: (name, value, upper limit of good, lower limit of bad); between them the labeller has no vote. Values from facts().
 LABELLERS = (
     ("symbols", "symbol_rate", 0.01, 0.05),
@@ -36,7 +43,7 @@ LABELLERS = (
     ("repeats", "repeat_rate", 0.05, 0.50),
     ("marks", "mark_rate", 0.05, 0.30),
     ("brevity", "short", 0.0, 1.0),
-    ("sameness", "sameness", 0.75, 0.90),
+    ("sameness", "sameness", 0.15, 0.35),
     ("word_length", "word_length", 10.0, 16.0),
 )
 
@@ -46,7 +53,7 @@ def facts(text: bytes | None) -> dict[str, float]:
     distinct = len(set((text or b"").split()))
     return {
         "symbol_rate": symbols / max(1, chars), "upper_rate": upper / max(1, chars), "line_rate": dup_lines / max(1, lines), "repeat_rate": repeats / max(1, words),
-        "mark_rate": marks / max(1, words), "short": 1.0 if words < 3 else 0.5 if words < 20 else 0.0, "sameness": 1 - distinct / max(1, min(words, 400)), "word_length": chars / max(1, words),
+        "mark_rate": marks / max(1, words), "short": 1.0 if words < 3 else 0.5 if words < 20 else 0.0, "sameness": 1 - math.log(distinct) / math.log(words) if words > 1 else 0.0, "word_length": chars / max(1, words),
     }
 
 
@@ -88,9 +95,9 @@ def estimate(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, floa
 
     Bad texts are bad in different ways, and labellers of one way know nothing of the others. So there is a class of bad texts for each labeller,
     which begins with those it votes bad, and one of good texts, which begins with those that none votes bad. Each class has a table of every
-    labeller's vote probabilities. Votes alone can't tell a way of being bad that one labeller sees from that labeller's errors; so it is taken as
-    known, with the weight of as many texts as there are, that a good text gets a labeller's bad vote at a rate of FALSE_ALARM, and a text that is
-    bad in the way that a labeller looks for at a rate of HIT.
+    labeller's vote probabilities, estimated from the votes. Where others overlap with a labeller, EM finds out how often it errs. Votes alone can't
+    tell a way of being bad that only one sees from that labeller's errors, so EM begins from a prior: a good text gets a labeller's bad vote at a rate of
+    FALSE_ALARM, and one that is bad in the way that it looks for at a rate of HIT, with the weight of PRIOR votes, which many texts outweigh.
     """
     keys = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(k)] for k in keys], float)
@@ -106,8 +113,8 @@ def estimate(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, floa
         held = p * n[:, None]
         share = (held.sum(0) + 1) / (n.sum() + m + 1)
         table = np.einsum("kc,kiv->civ", held, cast) + 0.5
-        table[m] += n.sum() * np.array([FALSE_ALARM, 1 - FALSE_ALARM])
-        table[range(m), range(m)] += n.sum() * np.array([HIT, 1 - HIT])
+        table[m] += PRIOR * np.array([FALSE_ALARM, 1 - FALSE_ALARM])
+        table[range(m), range(m)] += PRIOR * np.array([HIT, 1 - HIT])
         table /= table.sum(2, keepdims=True)
         log = np.log(share) + np.einsum("kiv,civ->kc", cast, np.log(table))
         new = np.exp(log - log.max(1, keepdims=True))
@@ -145,30 +152,36 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(id_col, text_col)
+    rows, _, row = keyed(docs)
+    part = min(1.0, sample / max(1, docs.count()))
+    place = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(row))
+    chosen = F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * part)
+    kinds = [("pattern", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]
 
     def voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pattern(votes(facts(x))) for x in binary_list(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["pattern"])
-
-    counted = docs.select(text_col).mapInArrow(voting, "pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["pattern"]: r["n"] for r in counted.collect()}
-    posterior, _, share = estimate(counts)
-
-    def hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts have each pattern; and of chosen ones the features, with n = 0."""
+        seen: Counter[int] = Counter()
         for batch in batches:
             out = []
-            for text in binary_list(batch, text_col):
+            for text, taken, nth in zip(binary_list(batch, "text"), batch.column("chosen").to_pylist(), batch.column("place").to_pylist(), strict=True):
                 found = facts(text)
-                at, grams = features(text, found)
-                distinct, where = np.unique(at, return_inverse=True)
-                x = np.bincount(where, weights(len(at), grams))
-                out.append({"pattern": pattern(votes(found)), "at": distinct.astype(np.int32), "x": x.astype(np.float32)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("pattern", pa.int64()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
-
-    part = min(1.0, sample / max(1, sum(counts.values())))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) < int((1 << 30) * part))
-    got = materialise(chosen.select(text_col).mapInArrow(hashing, "pattern long, at array<int>, x array<float>"), "weak-sample").orderBy("pattern", F.xxhash64("at"), "at").toArrow()
+                own = pattern(votes(found))
+                seen[own] += 1
+                if taken:
+                    at, grams = features(text, found)
+                    distinct, where = np.unique(at, return_inverse=True)
+                    out.append({"pattern": own, "n": 0, "place": nth, "at": distinct.astype(np.int32), "x": np.bincount(where, weights(len(at), grams)).astype(np.float32)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+        yield pa.RecordBatch.from_pylist([{"pattern": k, "n": n} for k, n in seen.items()], schema=pa.schema(kinds))
+
+    voted = rows.select(F.col(text_col).alias("text"), place.alias("place"), chosen.alias("chosen")).mapInArrow(voting, "pattern long, n long, place long, at array<int>, x array<float>")
+    voted = materialise(voted, "weak-votes")
+    counts = {r["pattern"]: r["n"] for r in voted.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    posterior, _, share = estimate(counts)
+    features_of = voted.where("n = 0")
+    entries = features_of.agg(F.sum(F.size("at"))).first()[0] or 0
+    fewer = F.pmod(F.xxhash64("place", F.lit("fewer")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, ENTRIES / max(1, entries)))
+    got = features_of.where(fewer).select("pattern", "at", "x").orderBy("pattern", F.xxhash64("at"), "at").toArrow()
     w, b = fit([(a.values.to_numpy(), x.values.to_numpy().astype(float), posterior[p]) for p, a, x in zip(got["pattern"].to_pylist(), got["at"], got["x"], strict=True)])
     model = spark.sparkContext.broadcast((w, b, posterior, share))
 
