@@ -3,21 +3,25 @@
 A message's text is plain, or a JSON object: {"content", "tool_calls": [{"id", "name", "arguments", "depends_on"?}]} makes calls,
 {"tool_call_id", "content"} is a result. Calls and results are linked by a hash join on (conversation, identifier). Messages are put in topological
 order: a result after its call, a call after the results of the calls in depends_on, else by turn; a message that must wait moves to just behind
-what it waits for. Arguments (an object, or a string that holds one) are validated against the tool's schema. Every message is serialised as canonical
+what it waits for. Arguments (an object, or a string that holds one) are validated against the tool's schema: types, also of an array's items, what is
+required, what is unknown, and which values are allowed. Every message is serialised as canonical
 JSON: keys in order, no blanks, absent values left out. That is the whole JSON object, with arguments parsed that are a string which holds an object;
 keys of it that are named as a column (conv_id, role, turn) or `body` stand below `body`.
 
 Scale: the join's key has the call's identifier, so a long conversation spreads. Positions within a conversation are counted in ranges of turns, so
-that one is no single task either. A conversation is not gathered in a row: one message a row. The schemas are a parameter, held in the plan.
+that one is no single task either; only messages of one conversation and one range of turns (those without a turn are one range) are put in order
+by one task. A conversation is not gathered in a row: one message a row. The schemas are a parameter, held in the plan.
 
 Ties: of calls with the same identifier in a conversation the first counts (smallest turn, then place); rows that repeat a turn are kept, in order of
 their texts. Null turns come last. A null conversation is one of its own. Text that isn't a JSON object, or has neither tool_calls nor
 tool_call_id, is plain; null text has no content. Chains of any length are put in order. Messages that wait for themselves (a cycle in depends_on)
-get the problem CYCLE; within a cycle only results wait, for their calls, and messages behind it still wait for it.
+get the problem CYCLE; within a cycle only results wait, for their calls, and messages behind it still wait for it. Repeated rows each give a row;
+long texts are whole in their JSON. An empty table gives an empty one. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import materialise, null_key, rank_within
 
 RANGE, LAST, CYCLE = 256, (1 << 62), "waits for itself"
-#: Tools, their parameters' JSON types and whether they are required.
-SCHEMAS = {
+#: A parameter: its JSON type, whether it is required, and, if given, its items' type (of arrays) and the values that it may have.
+Parameter = tuple[str, bool] | tuple[str, bool, str | None] | tuple[str, bool, str | None, tuple]
+#: Tools and their parameters.
+SCHEMAS: dict[str, dict[str, Parameter]] = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
     "calculate": {"expression": ("string", True)},
     "fetch": {"url": ("string", True), "headers": ("object", False), "timeout": ("number", False)},
@@ -49,9 +55,15 @@ _WHOLE = f"""to_json(to_variant_object(map_concat(
     map_filter(map('conv_id', cast(conv_id as variant), 'role', cast(role as variant), 'turn', cast(turn as variant)), (k, v) -> v is not null))))"""
 
 
-def _spec(schemas: dict[str, dict[str, tuple[str, bool]]]) -> F.Column:
-    kind = "map<string,array<struct<param:string,type:string,required:boolean>>>"
-    pairs = [x for tool, params in schemas.items() for x in (F.lit(tool), F.array(*[F.struct(F.lit(p).alias("param"), F.lit(t).alias("type"), F.lit(r).alias("required")) for p, (t, r) in params.items()]))]
+def _spec(schemas: dict[str, dict[str, Parameter]]) -> F.Column:
+    kind = "map<string,array<struct<param:string,type:string,required:boolean,items:string,allowed:array<string>>>>"
+
+    def told(name: str, parameter: Parameter) -> F.Column:
+        type_, required, items, allowed = (*parameter, None, None)[:4]
+        values = F.lit(None) if allowed is None else F.array(*[F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True)) for x in allowed])
+        return F.struct(F.lit(name).alias("param"), F.lit(type_).alias("type"), F.lit(required).alias("required"), F.lit(items).cast("string").alias("items"), values.cast("array<string>").alias("allowed"))
+
+    pairs = [x for tool, params in schemas.items() for x in (F.lit(tool), F.array(*[told(p, x) for p, x in params.items()]))]
     return (F.create_map(*pairs) if pairs else F.create_map()).cast(kind)
 
 
@@ -63,7 +75,7 @@ def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("__body", F.when(F.col("__result").isNotNull() | F.col("__calls").isNotNull(), F.col("__body")))
 
 
-def calls_of(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
+def calls_of(rows: DataFrame, schemas: dict[str, dict[str, Parameter]] = SCHEMAS) -> DataFrame:
     """(__conv, __key, __turn, place, call_id, name, arguments, depends_on, problems) for every call; rows from parse, with __conv, __key and __turn."""
     calls = rows.where(F.size("__calls") > 0).select("__conv", "__key", "__turn", F.posexplode("__calls").alias("place", "call"))
     held = F.try_variant_get("call", "$.arguments", "string")
@@ -79,6 +91,9 @@ def calls_of(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] =
           transform(filter(spec, p -> p.required and not map_contains_key(given, p.param)), p -> 'missing ' || p.param),
           transform(filter(spec, p -> map_contains_key(given, p.param) and not (
             {_KIND.format("given[p.param]")} = p.type or (p.type = 'number' and {_KIND.format("given[p.param]")} = 'integer'))), p -> 'not a ' || p.type || ': ' || p.param),
+          transform(filter(spec, p -> p.items is not null and exists(try_variant_get(given[p.param], '$', 'array<variant>'), e -> not (
+            {_KIND.format("e")} = p.items or (p.items = 'number' and {_KIND.format("e")} = 'integer')))), p -> 'not all ' || p.items || ': ' || p.param),
+          transform(filter(spec, p -> p.allowed is not null and map_contains_key(given, p.param) and not array_contains(p.allowed, to_json(given[p.param]))), p -> 'not allowed: ' || p.param),
           transform(array_sort(array_except(map_keys(given), transform(spec, p -> p.param))), k -> 'unknown ' || k)) end""")
     return calls.withColumn("problems", problems).drop("given", "spec")
 
@@ -163,7 +178,7 @@ def order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state.unionByName(alone).join(cyclic.withColumn("cyclic", F.lit(True)), "__key", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
-def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
+def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", schemas: dict[str, dict[str, Parameter]] = SCHEMAS) -> DataFrame:
     """(conv_id, turn, role, position, n_calls, n_answered, problems, answers, linked, json) for every message.
 
     position: place in its conversation, from 0. n_answered: its calls that have a result. problems: of its calls' arguments, in order. answers: the

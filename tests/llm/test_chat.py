@@ -183,3 +183,58 @@ def test_no_python_in_the_plan(spark):
     plan = chats(spark, [(1, 0, "user", "hi")])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+def test_items_and_allowed_values(spark):
+    """An array's items, and values that a parameter may have."""
+    schemas = {"pick": {"tags": ("array", True, "string"), "sizes": ("array", False, "number"), "mode": ("string", False, None, ("fast", "é", "slow")), "level": ("integer", False, None, (1, 2))}}
+    cases = [
+        ({"tags": ["a", "b"], "sizes": [1, 2.5], "mode": "é", "level": 2}, []),
+        ({"tags": [], "sizes": []}, []),
+        ({"tags": ["a", 1], "sizes": [1, "x"]}, ["not all string: tags", "not all number: sizes"]),
+        ({"tags": "a", "mode": "none", "level": 3}, ["not a array: tags", "not allowed: mode", "not allowed: level"]),
+        ({"tags": [None]}, ["not all string: tags"]),
+    ]
+    for arguments, problems in cases:
+        assert chats(spark, [(1, 0, "assistant", calls(call("a", "pick", arguments)))], schemas=schemas).first().problems == problems
+
+
+CALLS_SQL = """
+WITH m AS (SELECT *, json_valid(text) AND text LIKE '{%' AS special FROM conversations),
+b AS (SELECT conv_id, turn, role, text, CASE WHEN special THEN json_extract_string(text, '$.tool_call_id') END AS answers, CASE WHEN special THEN json_extract(text, '$.tool_calls') END AS own FROM m),
+c AS (SELECT conv_id, turn, json_extract_string(x, '$.id') AS id FROM (SELECT conv_id, turn, unnest(from_json(own, '["JSON"]')) AS x FROM b WHERE own IS NOT NULL))
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+  (SELECT count(*) FROM c WHERE c.conv_id = b.conv_id AND c.turn = b.turn) AS n_calls,
+  (SELECT count(*) FROM c WHERE c.conv_id = b.conv_id AND c.turn = b.turn AND EXISTS (SELECT 1 FROM b r WHERE r.conv_id = c.conv_id AND r.answers = c.id)) AS n_answered,
+  answers, CASE WHEN answers IS NOT NULL THEN EXISTS (SELECT 1 FROM c WHERE c.conv_id = b.conv_id AND c.id = answers) END AS linked
+FROM b
+"""
+
+
+def test_calls_against_sql(spark):
+    """Links and counts of calls whose results come in order, against DuckDB."""
+    import duckdb
+
+    rng = random.Random(8)
+    rows = []
+    for conv in range(40):
+        turn, open_calls = 0, []
+        for i in range(12):
+            kind = rng.choice(["user", "calls", "result", "odd"])
+            if kind == "calls":
+                own = [f"{conv}-{i}-{j}" for j in range(rng.choice([1, 2, 3]))]
+                open_calls += own
+                rows.append((conv, turn, "assistant", calls(*[call(x) for x in own])))
+            elif kind == "result" and open_calls:
+                rows.append((conv, turn, "tool", result(open_calls.pop(rng.randrange(len(open_calls))))))
+            elif kind == "odd":
+                rows.append((conv, turn, "tool", result("nobody's")))
+            else:
+                rows.append((conv, turn, "user", f"text {i}"))
+            turn += 1
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    expected = sorted(con.sql(CALLS_SQL).fetchall())
+    found = chats(spark, rows).select("conv_id", "turn", "role", "position", "n_calls", "n_answered", "answers", "linked").collect()
+    assert sorted(map(tuple, found)) == expected

@@ -62,3 +62,41 @@ def test_pipeline_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+ODD_COLUMNS = ("__file", "__row", "__size", "__copies", "__own", "__q_kept", "__l_score", "__rank", "size", "piece")
+
+
+def test_pipeline_of_odd_documents(spark):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, columns of any name: each stage decides as its operator does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [r for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 30][:60]
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in some] + [(r.doc_id, r.text, r.lang, r.source) for r in some[:10]] + [(some[0].doc_id, some[20].text, None, None), (None, some[30].text, "en", None), (None, some[31].text + " and more of it", None, "src0")]
+    rows += [(9001, None, "en", "src0"), (9002, "", "en", "src1"), (9003, " \n", None, None), (9004, "12 345 !", "de", "src2"), (9005, "short one", "en", "src3"), (9006, " ".join(f"{x} {i}" for i in range(300) for x in some[i % 40].text.split()), "en", "src4")]
+    names = ["doc_id", "text", "lang", "source", *ODD_COLUMNS]
+    df = spark.createDataFrame([(*r, *[i] * len(ODD_COLUMNS)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{x}` int" for x in ODD_COLUMNS))
+    known = Counter(r["__row"] for r in langid.with_language(df, langid.train(df.where(~langid.held_out())), prefix="p_").collect() if r.p_lang_pred != "und" and r.p_score >= 0.5)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = df
+        df = stage(spark, before, SF)
+        assert df.columns == names
+        held = df.collect()
+        assert {r["__row"] for r in held} <= {r["__row"] for r in before.collect()}
+        assert all(r["__own"] == r["__row"] for r in held)
+        if name == "language_id":
+            assert Counter(r["__row"] for r in held) == known
+        elif name == "quality_rules":
+            assert Counter(r.doc_id for r in held) == Counter(r.doc_id for r in quality.judge(before).collect() if r.kept)
+        elif name == "simhash_dedup":
+            assert len(held) == len({r.root for r in simhash.near_duplicates(before).collect()})
+        else:
+            assert Counter(r.doc_id for r in held) == +Counter({k: n for k, n in copies_by_id(before).items()})
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, SF)
+    assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == Counter(r.doc_id for r in df.collect())
+
+
+def copies_by_id(docs):
+    out = Counter()
+    for r in mixing.mix(docs).collect():
+        out[r.doc_id] += r.copies
+    return out
