@@ -1,7 +1,13 @@
 """A corpus from raw documents: language ID, quality rules, near-dedup, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, whatever further ones these have and however they are called.
+
+No stage moves texts between tasks: they decide on measures, fingerprints and sizes, and decisions go to where the texts are.
+
+Null, empty and letterless texts go in the first stage, texts of under ten words in the second; null languages don't teach; null languages and
+sources are groups of their own; null ids are ids like any other, last in order. Texts of any length are read whole. Of rows that repeat, also under one
+id, the third stage keeps one. Ties are as each operator's module says. Empty documents give no rows at every stage.
 """
 
 from __future__ import annotations
