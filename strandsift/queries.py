@@ -282,12 +282,32 @@ _HIT_COUNTS = f"""WITH d AS (SELECT source, upper(regexp_replace(text, '[^ACGTac
 SELECT source, CAST(sum(coalesce((SELECT count(*) FROM range(0, length(seq)) AS r(i) WHERE substr(seq, CAST(i + 1 AS INTEGER), {len(NEEDLE)}) = '{NEEDLE}'), 0)) AS BIGINT) AS hits, CAST(sum(coalesce(length(seq), 0)) AS BIGINT) AS symbols FROM d GROUP BY source"""
 
 
+#: Letters of the tables beyond ASCII, for levenshtein(), which counts bytes in DuckDB: each becomes one that texts don't hold.
+_BEYOND = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+_PLAIN = f"translate(text, '{_BEYOND}', {' || '.join(f'chr({i + 1 if i < 8 else i + 6})' for i in range(len(_BEYOND)))})"
+
+
+def _within(k: int) -> str:
+    """Passages within k edits. Of k + 1 pieces of one a match leaves one intact, so only ends near pieces' places can be ends; passages too short for that are compared everywhere."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN} AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT row_number() OVER () AS nid, item_id, {_PLAIN} AS n, length(text) AS m, length(text) // {k + 1} AS q FROM benchmark WHERE text <> ''),
+p AS (SELECT nid, n, m, q, i * q AS o, substr(n, CAST(i * q + 1 AS INTEGER), q) AS piece FROM n, range({k + 1}) AS r(i) WHERE q >= 3),
+h AS (SELECT rid, nid, t, m, q, o, piece FROM d JOIN p ON contains(t, piece)),
+w AS (SELECT rid, nid, t, m, o, piece, q, unnest(range(0, length(t) - q + 1)) AS place FROM h),
+e AS (SELECT DISTINCT rid, nid, unnest(range(greatest(1, place - o + m - {2 * k}), least(length(t), place - o + m + {2 * k}) + 1)) AS e FROM w WHERE substr(t, CAST(place + 1 AS INTEGER), q) = piece
+  UNION SELECT rid, nid, unnest(range(1, length(t) + 1)) AS e FROM d, n WHERE q < 3),
+s AS (SELECT rid, nid, doc_id, item_id, n, t, e, unnest(range(greatest(0, e - m - {k}), greatest(0, e - m + {k}) + 1)) AS s FROM e JOIN d USING (rid) JOIN n USING (nid)),
+x AS (SELECT rid, nid, doc_id, item_id, e, min(levenshtein(n, substr(t, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER)))) AS distance FROM s GROUP BY ALL)
+SELECT doc_id, CAST(e AS BIGINT) AS end_pos, CAST(item_id AS BIGINT) AS needle_id, CAST(distance AS INTEGER) AS distance FROM x WHERE distance <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
     m = len(NEEDLE)
     return {
         "contamination": """WITH h AS (SELECT d.doc_id, b.item_id, d.text AS t, b.text AS n FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)),
 p AS (SELECT *, unnest(range(0, length(t) - length(n) + 1)) AS pos FROM h)
 SELECT doc_id, CAST(pos AS BIGINT) AS begin_pos, item_id AS needle_id FROM p WHERE substr(t, CAST(pos + 1 AS INTEGER), length(n)) = n""",
+        "contamination_approximate": _within(8),
         "exact_begin": _exact(_DNA, "doc_id", NEEDLE),
         "exact_begin_shiftor": _exact(_DNA, "doc_id", "AA"),
         "exact_end_resumable": _exact(_TURNS, "conv_id", "ATTA", end=True),
