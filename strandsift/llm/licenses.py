@@ -188,3 +188,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", " ").alias("expressions"))
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    found = f"list_filter(range(len(ws)), lambda i: ws[i + 1 : i + {len(words)}] = [{', '.join(f"'{x}'" for x in words)}])"
+    return f"CASE WHEN contains(' ' || array_to_string(ws, ' ') || ' ', ' {phrase} ') THEN {found} ELSE [] END"
+
+
+def _held(phrases: dict[str, str]) -> str:
+    """SQL: the labels of phrases that joined words hold, with null for the others."""
+    return "[" + ", ".join(f"CASE WHEN contains(joined, ' {phrase} ') THEN '{label}' END" for phrase, label in phrases.items()) + "]"
+
+
+_LABELS = "coalesce(array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ','), '')"
+#: For texts without SPDX tags: SQL has no parser for their expressions; tests cover those.
+OP5_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS joined, list_concat({_places(list(BASE)[0])}, list_concat({_places(list(BASE)[1])}, {_places(list(BASE)[2])})) AS base FROM w),
+h AS (SELECT *, {_held(BASE)} AS own, {_held(NOTICES)} AS more FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base, CAST(list_min(base) AS BIGINT) AS first_word, CAST(list_max(base) AS BIGINT) AS last_word,
+  {_LABELS.format("own")} AS base_labels, {_LABELS.format("list_concat(own, more)")} AS labels,
+  coalesce(list_min(list_transform(list_filter(list_concat(own, more), lambda x: x IS NOT NULL), lambda x: CASE x {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in VALUE.items())} END)), 0) AS score, '' AS expressions
+FROM h
+"""

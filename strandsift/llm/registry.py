@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat.OP7_SQL, "op8_warc_bundles": warc.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op5_license_scan": licenses.OP5_SQL, "op7_chat_format": chat.OP7_SQL, "op8_warc_bundles": warc.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
