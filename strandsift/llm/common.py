@@ -75,8 +75,8 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total:
     return first.where(F.col(hot)).drop(hot).unionByName(rest)
 
 
-#: Rows of a file whose decisions lie together.
-STRIDE = 1 << 14
+#: Rows of a file whose decisions lie together, and about how many decisions share a folder: a task that reads texts fetches one or two folders.
+STRIDE, TOGETHER = 1 << 17, 200_000
 _ROWWISE = ("Project", "Filter", "Repartition", "RepartitionByExpression", "SubqueryAlias", "LogicalRelation", "Relation")
 
 
@@ -105,7 +105,7 @@ def take_rows(docs: DataFrame, file: str, row: str, decisions: DataFrame, defaul
     spark = docs.sparkSession
     small_batches(spark)
     decisions = materialise(decisions, "decisions")
-    buckets = buckets_for(decisions.count())
+    buckets = buckets_for(decisions.count(), TOGETHER)
 
     def bucket(file: str, row: str) -> Column:
         return F.pmod(F.xxhash64(F.col(file), F.floor(F.col(row) / STRIDE)), F.lit(buckets)).cast("int")
@@ -157,6 +157,11 @@ def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+def spread_over(spark: SparkSession, rows: int) -> int:
+    """Buckets in which a hot group's rows are ranked: as many as tasks that a shuffle has, at least, so that small tables are dealt out too."""
+    return max(buckets_for(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, ties: bool = False, table: DataFrame | None = None) -> DataFrame:
     """Adds each row's rank from 0 among the rows of its keys, in the order of (bucket, *order).
 

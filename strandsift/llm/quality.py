@@ -17,7 +17,7 @@ so sketches have no scale for those that do, and the share of lines that may be
 of repeated words is the base rule's own measure and has no second threshold.
 
 Scale: a sketch has a few hundred rows at most, summed before they are shuffled, so a hot source is no hot task. Measuring is one pass without
-shuffles. Thresholds (one row for each language and source) are broadcast if there are few; else those of sources that hold over one in BROADCAST_ROWS of
+shuffles; verdicts are reached on measures, without texts. Thresholds (one row for each language and source) are broadcast if there are few; else those of sources that hold over one in BROADCAST_ROWS of
 all documents are broadcast, and the others, none of them hot, are joined.
 
 A null or empty text has no words and fails the base rule. Null languages and sources are groups of their own. Texts are measured whole, whatever their
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import BROADCAST_ROWS, binary_list, materialise, null_key, small_batches, unused, with_column
+from strandsift.llm.common import BROADCAST_ROWS, binary_list, keyed, materialise, null_key, small_batches, take_rows, unused, with_column
 from strandsift.plans.planner import spread
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 5, 10, 20
@@ -83,27 +83,26 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), len(plain) - len(plain.translate(None, UPPER)), plain.count(b"!") + plain.count(b"?")
 
 
-def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and COUNTS."""
     small_batches(docs.sparkSession)
-    names = [prefix + x for x in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*map(measure, binary_list(batch, text_col)), strict=True)) or [()] * len(names)
-            yield with_column(batch, **{x: pa.array(v, pa.int64()) for x, v in zip(names, found, strict=True)})
+            found = list(zip(*map(measure, binary_list(batch, text_col)), strict=True)) or [()] * len(COUNTS)
+            yield with_column(batch, **{x: pa.array(v, pa.int64()) for x, v in zip(COUNTS, found, strict=True)})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in COUNTS)]))
 
 
-def _counts(measure: str, prefix: str = "") -> tuple[F.Column, F.Column]:
+def _counts(measure: str) -> tuple[F.Column, F.Column]:
     """A measure's events and units, at least one unit."""
     events, units = MEASURES[measure]
-    return F.col(prefix + events), F.greatest(F.lit(1), F.col(prefix + units))
+    return F.col(events), F.greatest(F.lit(1), F.col(units))
 
 
-def base_failed(prefix: str = "") -> F.Column:
-    words, repeat = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> F.Column:
+    words, repeat = F.col("n_words"), F.col("n_repeat_words")
     return (words < MIN_WORDS) | (100 * repeat > MAX_REPEAT * words)
 
 
@@ -160,14 +159,14 @@ def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
     return rows.groupBy("__lang", "__source").agg(F.first("__n").alias("__n"), *[F.max(F.when(F.col("measure") == x, chosen)).alias(f"__max_{x}") for x in MEASURES])
 
 
-def _exceeds(measure: str, most: F.Column, prefix: str = "") -> F.Column:
-    events, units = _counts(measure, prefix)
+def _exceeds(measure: str, most: F.Column) -> F.Column:
+    events, units = _counts(measure)
     expected = most * units
     return events > expected + SIGMAS * F.sqrt(F.greatest(expected, F.lit(1.0)))
 
 
-def verdicts(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
-    """measured with base_failed and kept, whose names begin with prefix too. limits: as thresholds() gives them."""
+def verdicts(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """measured (a written table, as it may be read twice) with base_failed and kept. limits: as thresholds() gives them."""
     limits = materialise(limits, "thresholds")
     names = dict(zip(limits.columns, unused(measured.columns, *limits.columns), strict=True))
     size = limits.agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("docs")).first()
@@ -177,10 +176,10 @@ def verdicts(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", sou
     if size["rows"] > BROADCAST_ROWS:
         rest = joined.where(F.col(names["__lang"]).isNull()).select(*[F.col(f"`{c}`") for c in measured.columns])
         joined = joined.where(F.col(names["__lang"]).isNotNull()).unionByName(rest.join(limits.where(~few).withColumnsRenamed(names), same))
-    good = ~base_failed(prefix)
+    good = ~base_failed()
     for x in MEASURES:
-        good &= ~_exceeds(x, F.col(names[f"__max_{x}"]), prefix)
-    return joined.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": good}).drop(*names.values())
+        good &= ~_exceeds(x, F.col(names[f"__max_{x}"]))
+    return joined.withColumns({"base_failed": base_failed(), "kept": good}).drop(*names.values())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -195,13 +194,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs that pass. Texts are measured twice, so that they aren't shuffled."""
-    measured = materialise(with_measures(docs.select(text_col, lang_col, source_col), text_col).drop(text_col), "measures")
-    prefix = "__q_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    judged = verdicts(with_measures(docs, text_col, prefix), thresholds(measured, lang_col, source_col), lang_col, source_col, prefix)
-    return judged.where(f"{prefix}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs that pass. Only which rows fail is sent to the texts, which are measured once and stay where they are."""
+    rows, file, row = keyed(docs)
+    measured = rows.select(F.col(file).alias("__file"), F.col(row).alias("__row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    measured = materialise(with_measures(measured).drop("text"), "measures")
+    failed = verdicts(measured, thresholds(measured)).where("not kept")
+    return take_rows(rows, file, row, failed.select("__file", "__row", F.lit(0).alias("__times")), 1)
 
 
 _VALUES = ", ".join(f"('{x}', {events}, greatest(1, {units}))" for x, (events, units) in MEASURES.items())

@@ -40,7 +40,7 @@ def test_null_keys_differ_from_all_others(spark):
 def test_rows_are_taken_in_place(spark, tmp_path, monkeypatch):
     """Rows of several files, by decisions in several ranges and buckets; and rows of a table that is no file."""
     monkeypatch.setattr(common, "STRIDE", 16)
-    monkeypatch.setattr(common, "buckets_for", lambda rows: 5)
+    monkeypatch.setattr(common, "TOGETHER", 70)
     path = str(tmp_path / "t")
     spark.range(1000).select(F.col("id"), F.lit("x").alias("__at")).repartition(4).write.parquet(path)
     for df in (spark.read.parquet(path), spark.read.parquet(path).where("id >= 0").repartition(3), spark.range(1000).withColumn("__at", F.lit("x"))):
