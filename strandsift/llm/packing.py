@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandsift.llm.common import buckets_for, materialise, rank_within, small_batches, unused
+from strandsift.llm.common import materialise, rank_within, small_batches, spread_over, unused
 from strandsift.plans.planner import spread
 
 CAPACITY = 4096
@@ -229,7 +229,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan, _ = best_fit_plan(counts, capacity)
-    buckets = buckets_for(sum(counts.values()))
+    buckets = spread_over(pieces.sparkSession, sum(counts.values()))
     salt, nth = unused(pieces.columns, "__salt", "__rank")
     salted = pieces.withColumn(salt, F.monotonically_increasing_id())  # the same at each reading, as pieces are a written table
     ranked = rank_within(salted, ["length"], F.pmod(F.xxhash64(salt), F.lit(buckets)), [F.col(salt)], nth).drop(salt)

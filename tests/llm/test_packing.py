@@ -124,7 +124,7 @@ def test_ids_are_kept(spark, tokenizer):
 
 def test_hot_length(spark, tokenizer, monkeypatch):
     """One length has nearly all rows, and its ranks are counted in many buckets."""
-    monkeypatch.setattr(packing, "buckets_for", lambda rows: 7)
+    monkeypatch.setattr(packing, "spread_over", lambda spark, rows: 7)
     rows = [(i, "the same words") for i in range(500)] + [(1000 + i, "a b " * i) for i in range(20)]
     check(pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=50), rows, 50, tokenizer)
 
@@ -136,7 +136,7 @@ def test_empty(spark):
 
 def test_rows_without_ids(spark, tokenizer, monkeypatch):
     """Many equal rows without an id are dealt over the buckets."""
-    monkeypatch.setattr(packing, "buckets_for", lambda rows: 8)
+    monkeypatch.setattr(packing, "spread_over", lambda spark, rows: 8)
     rows = [(None, "the same words")] * 400 + [(7, "the same words")] * 400
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     check(pack_documents(df, capacity=50), rows, 50, tokenizer)
