@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import buckets_for, keyed, lookup, materialise, null_key, rank_within, take_rows
+from strandsift.llm.common import keyed, lookup, materialise, null_key, rank_within, spread_over, take_rows
 from strandsift.plans.planner import spread
 
 WEIGHTS = (5, 2, 1)
@@ -147,7 +147,7 @@ def _mixed(docs: DataFrame, file: str, row: str, id_col: str, text_col: str, sou
     cells = cells.join(lookup(told, n_sources), "__source").withColumn("rate", _rate(cap))
     schema = "__source string, size long, source_size long, target double, rate double, more long"
     cells = materialise(cells.groupBy("__source").applyInPandas(round_cells, schema), "mix-copies")
-    buckets = buckets_for(rows)
+    buckets = spread_over(docs.sparkSession, rows)
     bucket = F.pmod("__order", F.lit(buckets))
     # Rows that repeat a document many times lie behind all others, in buckets of their own: whichever of them get the extra copy, the mix is the same.
     crowds = materialise(sized.groupBy("__order").agg(F.count(F.lit(1)).alias("__crowd")).where(F.col("__crowd") > CROWD), "mix-crowds")

@@ -77,7 +77,7 @@ def test_capped_source(spark):
 
 
 def test_hot_cell(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "buckets_for", lambda rows: 5)
+    monkeypatch.setattr(mixing, "spread_over", lambda spark, rows: 5)
     df = spark.createDataFrame([(i, "one two three", "ab"[i % 2]) for i in range(1000)], "doc_id long, text string, source string")
     found = mixing.mix(df).collect()
     taken = Counter()
