@@ -104,29 +104,19 @@ def test_empty(spark):
     assert mixing.take_copies(df).count() == 0
 
 
-@pytest.mark.parametrize("key", [None, 7])
-def test_rows_that_repeat_an_id(spark, monkeypatch, key):
+@pytest.mark.parametrize(("key", "crowd"), [(None, mixing.CROWD), (7, 50)])
+def test_rows_that_repeat_an_id(spark, monkeypatch, key, crowd):
     """Each row counts once, whatever its id: 600 rows of one source with one id, or none, take what the target says; so do rows that are equal."""
-    rows = [(key, "w " * 10 + str(i), "a") for i in range(600)] + [(1000 + i, "w " * 10, "b") for i in range(60)]
+    monkeypatch.setattr(mixing, "CROWD", crowd)
+    rows = [(key, "w " * 10 + ("x" if key else str(i)), "a") for i in range(600)] + [(1000 + i, "w " * 10, "b") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    goal = mixing.targets({"a": 6600, "b": 600})
-    for crowd in (mixing.CROWD, 50):
-        monkeypatch.setattr(mixing, "CROWD", crowd)
-        for own in (df, df.withColumn("text", F.lit("w " * 11))):
-            found = mixing.mix(own).collect()
-            taken = Counter()
-            for r in found:
-                taken[r.source] += r.size * r.copies
-            sizes = Counter()
-            for r in found:
-                sizes[r.source] += r.size
-            goal = mixing.targets(dict(sizes))
-            assert taken["a"] == pytest.approx(goal["a"], abs=11)
-            assert taken["b"] == pytest.approx(goal["b"], abs=11)
-    copies = Counter()
+    taken, copies = Counter(), Counter()
     for r in mixing.mix(df).collect():
+        taken[r.source] += r.size * r.copies
         copies[r.source] += r.copies
-    assert {r.source: r["count"] for r in mixing.take_copies(df).groupBy("source").count().collect()} == dict(copies)
+    for s, goal in mixing.targets({"a": 6600, "b": 600}).items():
+        assert taken[s] == pytest.approx(goal, abs=11)
+    assert Counter(r.source for r in mixing.take_copies(df).collect()) == copies
 
 
 def test_clashing_names(spark):
