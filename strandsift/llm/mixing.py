@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import buckets_for, keyed, lookup, materialise, null_key, rank_within, take_rows
+from strandsift.llm.common import BROADCAST_ROWS, buckets_for, keyed, lookup, materialise, null_key, rank_within, take_rows
 from strandsift.plans.planner import spread
 
 WEIGHTS = (5, 2, 1)
@@ -96,6 +96,8 @@ def balance(cells: DataFrame, sources: DataFrame, n_sources: int, cap: float = C
         seen = Observation()
         return materialise(state.observe(seen, F.count_if("open").alias("n")), "mix-tilts"), seen.get["n"]
 
+    # Steps on a table of few rows are work of one task, not of as many as a shuffle has.
+    sources = sources.coalesce(-(-max(1, n_sources) // BROADCAST_ROWS))
     state, n_open = written(sources.withColumns({"tilt": F.when(solve, 0.0).otherwise(full), "low": none, "high": every, "open": solve}))
     rate, words = _rate(cap), F.col("n") * F.col("size")
     slope = F.when(rate < cap, words * F.col("size") / F.col("scale") * rate).otherwise(0.0)
